@@ -116,7 +116,7 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
 
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of df's size: file sizes for a scan."""
-    n = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return min(n, 1 << 60)
 
 

@@ -6,14 +6,22 @@ from .bpe import op8_bpe
 from .decontaminate import OP1_SQL, op1_decontaminate
 from .langid import op10_langid
 from .quality import op6_quality
+from .substring_dedup import OP5_SQL, op5_substring_dedup
+from .suffix_dedup import OP3_SQL, op3_suffix_dedup
 from .tokencount import op9_token_counts
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op3_suffix_dedup": op3_suffix_dedup,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_quality": op6_quality,
     "op8_bpe": op8_bpe,
     "op9_token_counts": op9_token_counts,
     "op10_langid": op10_langid,
 }
 
-ORACLES = {"op1_decontaminate": OP1_SQL}
+ORACLES = {
+    "op1_decontaminate": OP1_SQL,
+    "op3_suffix_dedup": OP3_SQL,
+    "op5_substring_dedup": OP5_SQL,
+}
