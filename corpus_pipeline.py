@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomtext.llm import bpe, decontaminate, quality
-from loomtext.llm._util import documents, settled
+from loomtext.llm import bpe, decontaminate, line_dedup, near_dedup, quality
+from loomtext.llm._util import LAST_ID, documents, settled
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,6 +17,21 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.assess(docs, model).where("kept").select(*docs.columns)
 
 
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of at least 10 characters stay only in the first document that holds them."""
+    out = line_dedup.line_dedup(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: the one with the smallest doc_id."""
+    gone = near_dedup.near_duplicates(docs).where("id != component_id").select("id").distinct()
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
+    return docs.join(gone, key == gone["id"], "left_anti")
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with windows of two or more benchmark items go; from others the hit words are cut."""
     return decontaminate.cleaned(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -28,6 +44,8 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality rules", quality_rules),
+    ("line dedup", lines),
+    ("near duplicates", near_duplicates),
     ("decontamination", decontamination),
     ("bpe", encoding),
 ]
