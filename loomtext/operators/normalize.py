@@ -37,7 +37,7 @@ def parse_mapping(text: str, allowed=None, what: str = "mapping") -> dict[str, s
 
 
 def is_compat_ideograph(c: str) -> bool:
-    return "豈" <= c <= "﫿" or "丽" <= c <= "\U0002fa1f"
+    return "\uf900" <= c <= "\ufaff" or "\U0002f800" <= c <= "\U0002fa1f"
 
 
 def compat_from_text(text: str) -> dict[str, str]:

@@ -26,7 +26,7 @@ _QUOTE_OF = {v: k for k, v in t.DIALOG.items()}
 _BRACKET_CLOSERS = frozenset(t.BRACKETS.values())
 _LONGEST_KEY = max(map(len, t.METADATA_KEYS))
 _NUMBER = f"[{t.LIST_NUMBERS}]"
-_CJK = "㐀-䶿一-鿿豈-﫿"
+_CJK = "\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
 _LIST = re.compile(f"[{re.escape(t.LIST_BULLETS)}][{t.SPACES}]|\\({_NUMBER}{{1,2}}\\)|（{_NUMBER}{{1,2}}）|{_NUMBER}{{1,2}}(?:[)）、]|\\.[ {_CJK}])")
 _LIST_CLOSER = re.compile(f"{_NUMBER}{{1,2}}[)）]")
 
@@ -35,7 +35,7 @@ _LIST_CLOSER = re.compile(f"{_NUMBER}{{1,2}}[)）]")
 
 
 def is_cjk(c: str) -> bool:
-    return "㐀" <= c <= "䶿" or "一" <= c <= "鿿" or "豈" <= c <= "﫿"
+    return "\u3400" <= c <= "\u4dbf" or "\u4e00" <= c <= "\u9fff" or "\uf900" <= c <= "\ufaff"
 
 
 def trim(s: str) -> str:

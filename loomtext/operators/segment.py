@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from .matcher import SEGMENT_EXCLUSIVE, SEGMENT_INCLUSIVE, ids_end, ids_split
@@ -29,13 +30,16 @@ def segment_ranges(col: Column, inclusive: bool = True) -> Column:
     return F.aggregate(split_segments(col, inclusive), empty, lambda acc, s: F.array_append(acc, pair(at(acc), size(s))))
 
 
-@pandas_udf("array<struct<ids:boolean,text:string>>")
+_PARTS = T.ArrayType(T.StructType([T.StructField("ids", T.BooleanType()), T.StructField("text", T.StringType())]))
+
+
+@pandas_udf(_PARTS)
 def ids_parts(s: pd.Series) -> pd.Series:
     """Description sequences and what lies between them."""
     return s.map(lambda t: [{"ids": a, "text": b} for a, b in ids_split(t)], na_action="ignore")
 
 
-@pandas_udf("boolean")
+@pandas_udf(T.BooleanType())
 def is_complete_ids(s: pd.Series) -> pd.Series:
     """Whether the whole text is one description sequence."""
     return s.map(lambda t: bool(t) and "⿰" <= t[0] <= "⿿" and ids_end(t, 0) == len(t), na_action="ignore")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 SEPARATORS = ("，", "。", "", " “", "”")
 
 #: Stand-ins for the letters a to z: regional variants, compatibility and rare characters.
-LETTERS = "台爲裏着麪說衞線群啓汉語国學豈更車⼀⼁⼂𬴂𠀾惡德為這"
+LETTERS = "台爲裏着麪說衞線群啓汉語国學\uf900\uf901\uf902\u2f00\u2f01\u2f02𬴂𠀾惡德為這"
 
 
 def phrase_keys(keys) -> list[str]:

@@ -9,6 +9,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from .functions import tables
@@ -142,7 +143,7 @@ def _table_query(name: str, table: Callable[[], dict[str, str]], column) -> None
     query(name, lambda: _letters(f"{oracle.translate('src', table())} AS out"))(lambda spark, sf_dir: corpus.letter_corpus(spark, sf_dir).select("doc_id", column(F.col("src")).alias("out")))
 
 
-_USER_COMPAT = "豈\t其\n更\t改\n"
+_USER_COMPAT = "\uf900\t其\n\uf901\t改\n"
 _table_query("normalize_compat", normalize.compat_table, normalize.normalize_compat)
 _table_query("normalize_unicode_compat", normalize.extended_table, normalize.normalize_unicode_compat)
 _table_query("normalize_compat_extended", normalize.full_table, lambda c: normalize.normalize_compat(c, extended=True))
@@ -392,7 +393,7 @@ def _entries(spark, sf_dir):
     return rows.select("p_partkey", office.is_text_entry(_pick(_NAMES, "p_partkey", 5), _pick(list(office.FORMATS), "p_partkey", 3)).alias("selected"))
 
 
-@pandas_udf("binary")
+@pandas_udf(T.BinaryType())
 def _docx(s: pd.Series) -> pd.Series:
     def build(body: str) -> bytes:
         out = io.BytesIO()
