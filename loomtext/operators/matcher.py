@@ -48,7 +48,7 @@ def is_split_sensitive(table: Mapping[str, str]) -> bool:
 def ids_end(text: str, start: int) -> int:
     """End of the complete description sequence that starts here, or -1. Leaves count UTF-16 units, as upstream
     tools do, so an outer character takes two; a cut inside one moves to its end."""
-    need, stack, pos = 1, [1], start
+    stack, pos = [1], start
     half = False
     while stack:
         if pos >= len(text) or len(stack) - 1 > MOST_IDS_DEPTH:
@@ -66,7 +66,6 @@ def ids_end(text: str, start: int) -> int:
             stack.append(arity)
         while stack and stack[-1] == 0:
             stack.pop()
-    del need
     return pos + half
 
 
@@ -98,7 +97,8 @@ class Round:
         self.scalar = is_scalar(self.table)
         self.sensitive = is_split_sensitive(self.table)
         if self.scalar:
-            self.map = str.maketrans(self.table)
+            # finding the few characters that change is faster than str.translate outside Latin-1
+            self.scan = re.compile("[" + "".join(map(re.escape, self.table)) + "]").sub if self.table else None
             return
         starts: dict[str, set[int]] = {}
         for k in self.table:
@@ -109,14 +109,15 @@ class Round:
 
     def apply(self, text: str) -> str:
         if self.scalar and not self.sensitive:
-            return text.translate(self.map)
+            return self._match(text)
         if self.sensitive and len(text) * 2 >= LINEAR_UNITS and units(text) >= LINEAR_UNITS:
             return "".join(s if s in DELIMITERS else self._match(s) for s in re.findall(SEGMENT_INCLUSIVE, text))
         return text if len(text) == 1 and text in DELIMITERS else self._match(text)
 
     def _match(self, text: str) -> str:
         if self.scalar:
-            return text.translate(self.map)
+            table = self.table
+            return self.scan(lambda m: table[m[0]], text) if self.scan else text
         lengths, get, find = self.lengths, self.table.get, self.next
         out, i, n = [], 0, len(text)
         while (m := find(text, i)) is not None:
