@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,7 +78,7 @@ def batches_by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int =
         if a.nbytes <= most or b.num_rows < 2:
             yield b
             continue
-        size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(a), 0)).astype(np.int64)
+        size = np.asarray(pc.fill_null(pc.binary_length(a), 0)).astype(np.int64)
         cuts = np.flatnonzero(np.diff(np.cumsum(size) // most)) + 1
         for i, j in zip([0, *cuts], [*cuts, b.num_rows]):
             if j > i:
@@ -115,9 +116,11 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of df's size: file sizes for a scan."""
+    """df's size: the optimizer's estimate where it knows one (files), else the bytes of its texts."""
     n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(n, 1 << 60)
+    if n >= 1 << 50:  # unknown, or a product of joined sizes
+        n = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return n
 
 
 #: Target size of a block of documents, and the most that it may grow to on large inputs.
