@@ -96,13 +96,18 @@ _FOUND = T.StructType(
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = 8, carry: list[str] | None = None, slice_windows: int = SLICE_WINDOWS) -> DataFrame:
-    """The carried columns with found = (hit_items, hit_spans in words, n_words).
+    """The carried columns with found = (hit_items, hit_spans in words, n_words); an own column of that name goes."""
+    carry = [c for c in (docs.columns if carry is None else carry) if c != "found"]
+    return scanned(docs, benchmark, n, carry, slice_windows).select("row.*", "found")
+
+
+def scanned(docs: DataFrame, benchmark: DataFrame, n: int, carry: list[str], slice_windows: int = SLICE_WINDOWS) -> DataFrame:
+    """(row, text, found): row holds the carried columns.
 
     The broadcast is bounded by slice_windows: a benchmark with more windows goes over the documents slice by
     slice, each with its own bounded broadcast, and every slice adds to what earlier ones found.
     """
     spark = docs.sparkSession
-    carry = docs.columns if carry is None else carry
     windows = benchmark_windows(benchmark, n)
     total = windows.count()
     slices = max(1, -(-total // slice_windows))
@@ -132,7 +137,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 8, carry: list[str] | N
         out = out.mapInArrow(run, out.schema)
         if not last:
             out = settled(out)
-    return out.select("row.*", "found")
+    return out
 
 
 def cleaned(docs: DataFrame, benchmark: DataFrame, n: int = 8, most_items: int = 2) -> DataFrame:
@@ -140,7 +145,7 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, n: int = 8, most_items: int =
 
     A document that loses words keeps the bytes around them; clean documents stay as they are.
     """
-    found = scan(docs, benchmark, n)
+    found = scanned(docs, benchmark, n, docs.columns)
     kept = found.where(F.size("found.hit_items") < most_items)
 
     @F.pandas_udf("string")
@@ -160,11 +165,11 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, n: int = 8, most_items: int =
         return type(text)(out, dtype=object)
 
     hit = F.size("found.hit_spans") > 0
-    plain = kept.where(~hit).select(*docs.columns)
-    mended = kept.where(hit).withColumn("text", cut("text", "found.hit_spans"))
-    if "n_chars" in docs.columns:
-        mended = mended.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return plain.unionByName(mended.select(*docs.columns))
+    plain = kept.where(~hit).select("row.*")
+    mended = kept.where(hit).select("row.*", cut("row.text", "found.hit_spans").alias("__cut"))
+    length = F.length("__cut").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
+    new = {"text": F.col("__cut"), "n_chars": length}
+    return plain.unionByName(mended.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns]))
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 
@@ -164,7 +165,9 @@ class Block:
 
 
 def _request(kind: int, block: int, buckets: int, rule: Rule, ids, start, key, fp, content=None) -> list[dict]:
-    """Rows for each bucket of the distinct entries, first occurrences only. Entries come in order of (id, start)."""
+    """Rows for each bucket of the distinct entries, first occurrences only."""
+    e = np.lexsort((start, ids)) if rule.ordered else np.arange(len(ids))  # rows may share an id
+    ids, start, key, fp, place = ids[e], start[e], key[e], fp[e], e
     ident = join2(key >> _U16, fp)
     o = np.argsort(ident, kind="stable")
     c = _cuts(ident[o])
@@ -187,7 +190,7 @@ def _request(kind: int, block: int, buckets: int, rule: Rule, ids, start, key, f
         row["flag"] = np.packbits(again[o[a:b]]).tobytes()
         row["size"] = row["content"] = b""
         if content is not None:
-            parts = [content(i) for i in e.tolist()]
+            parts = [content(i) for i in place[e].tolist()]
             row["size"] = np.array(list(map(len, parts)), "<u2").tobytes()
             row["content"] = np.concatenate(parts).astype("<u8").tobytes()
         rows.append(row)
@@ -259,7 +262,7 @@ class Answers:
     """What a block was told: sorted identities with first positions."""
 
     def __init__(self, table: pa.Table, kind: int):
-        rows = table.filter(pa.compute.equal(table["kind"], kind)).to_pylist() if table.num_rows else []
+        rows = table.filter(pc.equal(table["kind"], kind)).to_pylist() if table.num_rows else []
         if not rows:
             self.ident = np.empty(0, np.uint64)
             return
@@ -360,10 +363,10 @@ def repeated(docs: DataFrame, rule: Rule, finish: Callable[[Block, np.ndarray],
 
     def second(table):
         out = []
-        windows = table.filter(pa.compute.equal(table["kind"], WINDOW))
+        windows = table.filter(pc.equal(table["kind"], WINDOW))
         if windows.num_rows:
             out += _resolve(WINDOW, windows, rule)
-        content = table.filter(pa.compute.equal(table["kind"], CONTENT))
+        content = table.filter(pc.equal(table["kind"], CONTENT))
         if content.num_rows:
             out += _by_resolver(content, rule, resolver)
         return _rows(out, _ANSWER_SCHEMA)
