@@ -85,10 +85,6 @@ def batches_by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int =
                 yield b.slice(i, j - i)
 
 
-def table_of(schema_like: dict[str, tuple[list, pa.DataType]]) -> pa.Table:
-    return pa.table({k: pa.array(v, t) for k, (v, t) in schema_like.items()})
-
-
 def scratch(spark: SparkSession) -> str:
     """A new path in the shared folder that the session names; sets a local one only where none is named."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -108,13 +104,6 @@ def settled(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def dropped(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes the scratch files that df reads."""
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def input_bytes(df: DataFrame) -> int:
     """df's size: the optimizer's estimate where it knows one (files), else the bytes of its texts."""
     n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

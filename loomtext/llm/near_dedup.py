@@ -8,9 +8,10 @@ probability of (1 - 0.8^4)^32, about 4e-8.
 2. Each class is confirmed against one neighbour: the head (smallest document) of the regions of equal prefixes
    with which it shares most orders. Dense regions (over DENSE classes) use a prefix of 8 values as well, where
    neighbours are closer. Confirmed links give first components.
-3. Regions that now lie in one component are done, as more links inside change nothing. In all others every
-   class outside the region's largest component is compared with every class of other components, in chunks, by
-   signature; what may reach 0.8 (five standard deviations off) is confirmed on full sets. No candidate is capped.
+3. Regions that share classes form a cluster. A cluster that lies in one component is done, as more links inside
+   change nothing. In all others every class outside the cluster's largest component meets every class of the
+   cluster, chunk by chunk, and is compared on full sets; a chunk tells one link for each component that a class
+   belongs to, never its pairs. No candidate is capped.
 
 Defined results. Words are runs of bytes other than space and 09-0D, A-Z lower-cased. Text without words (or null) has an empty set
 and is linked with nothing. Each row is judged by its own text; a null doc_id comes after all others, and rows
@@ -20,7 +21,6 @@ with equal doc_ids are one node of the result. Every input row gives one output
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +31,7 @@ from .components import components
 
 VALUES, DEPTH = 128, 4
 ORDERS = VALUES // DEPTH
-DENSE, CHUNK = 64, 1000
+DENSE, CHUNK = 64, 2000
 #: Ids of one broadcast; beyond it texts are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 
@@ -106,12 +106,9 @@ def ordered(classes: DataFrame) -> DataFrame:
     return classes.select("rep", "sig").mapInArrow(run, "rep long, key long, deep long")
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets reach the similarity, as settled links."""
-    spark = docs.sparkSession
-    pairs = settled(pairs)
-    ids = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
-    ids = settled(ids)
+def sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """(id, set): the packed sets of the documents named; their number decides how they are found."""
+    ids = settled(ids.select("id").distinct())
     if ids.count() <= MOST_BROADCAST:
         ids = F.broadcast(ids)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), "text").join(ids, "id", "left_semi")
@@ -121,7 +118,13 @@ def confirmed(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFr
             own = [shingles((t or "").encode(), n).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.binary())], ["id", "set"])
 
-    full = rows.mapInArrow(sets, "id long, set binary")
+    return rows.mapInArrow(sets, "id long, set binary")
+
+
+def confirmed(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (u, v) whose full sets reach the similarity, as settled links."""
+    pairs = settled(pairs)
+    full = sets_of(docs, pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))), n)
     u, v = full.select(F.col("id").alias("u"), F.col("set").alias("a")), full.select(F.col("id").alias("v"), F.col("set").alias("b"))
 
     def check(batches):
@@ -139,66 +142,83 @@ def confirmed(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFr
     return settled(met.mapInArrow(check, "u long, v long"))
 
 
-def head_pairs(orders: DataFrame) -> DataFrame:
-    """(u, v): each class with the region head that it shares most orders with."""
+def neighbours(orders: DataFrame) -> DataFrame:
+    """(rep, head, n, deep): region heads of each class and how many orders they share, by both depths."""
 
-    def heads(rows: DataFrame, key: str, least: int = 2) -> DataFrame:
-        return rows.groupBy(key).agg(F.min("rep").alias("head"), F.count("*").alias("n")).where(F.col("n") >= least)
+    def heads(rows: DataFrame, key: str) -> DataFrame:
+        return rows.groupBy(key).agg(F.min("rep").alias("head"), F.count("*").alias("size")).where("size > 1")
 
     near = orders.join(heads(orders, "key"), "key").where("rep != head")
-    dense = near.where(F.col("n") > DENSE)
-    deep = dense.select("rep", "deep").join(heads(dense, "deep").drop("n"), "deep").where("rep != head")
-
-    def most_shared(rows: DataFrame) -> DataFrame:
-        n = rows.groupBy("rep", "head").agg(F.count("*").alias("n"))
-        return n.groupBy("rep").agg(F.max_by("head", F.struct("n", -F.col("head"))).alias("head"))
-
-    both = most_shared(near).unionByName(most_shared(deep))
-    return both.select(F.col("rep").alias("u"), F.col("head").alias("v")).distinct()
-
-
-def open_pairs(classes: DataFrame, orders: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """(u, v) of different components in one region whose signatures may reach the similarity."""
-    p = percent / 100
-    least = int(np.floor(VALUES * p - 5 * np.sqrt(VALUES * p * (1 - p))))
-    rows = orders.select("key", "rep").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    counts = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
-    regions = counts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("roots")).where("roots > 1")
-    regions = regions.withColumn("parts", F.ceil(F.col("n") / CHUNK).cast("int")).withColumn("asks", F.ceil((F.col("n") - F.col("most")) / CHUNK).cast("int")).select("key", "main", "parts", "asks")
-    short = F.udf(lambda s: np.frombuffer(s, "<u4").astype(np.uint8).tobytes(), "binary")
-    small = classes.select("rep", short("sig").alias("sig"))
-    member = settled(rows.join(regions, "key").join(small, "rep"))
+    dense = near.where(F.col("size") > DENSE).select("rep", "deep")
+    far = dense.join(heads(dense, "deep"), "deep").where("rep != head")
+    shared = lambda rows, deep: rows.groupBy("rep", "head").agg(F.count("*").alias("n")).withColumn("deep", F.lit(deep))
+    return shared(near, False).unionByName(shared(far, True))
+
+
+def best_pairs(found: DataFrame) -> DataFrame:
+    """(u, v): each class with the head that it shares most orders with, at either depth."""
+    best = found.groupBy("rep", "deep").agg(F.max_by("head", F.struct("n", -F.col("head"))).alias("head"))
+    return best.select(F.col("rep").alias("u"), F.col("head").alias("v")).distinct()
+
+
+def compare(members: list, askers: list, percent: int) -> tuple[list[int], list[int]]:
+    """Links between askers and members (id, root, set), one for each asker and root met."""
+    ids, roots, sets = zip(*members)
+    size = np.array(list(map(len, sets)))
+    every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    o = np.argsort(every, kind="stable")
+    every, owner = every[o], owner[o]
+    u, v = [], []
+    for own, root, s in askers:
+        lo, hi = np.searchsorted(every, s, "left"), np.searchsorted(every, s, "right")
+        n = hi - lo
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
+        both = np.bincount(owner[at], minlength=len(sets))
+        met = {root}
+        for i in np.flatnonzero((both > 0) & (100 * both >= percent * (size + len(s) - both))).tolist():
+            if roots[i] not in met:
+                met.add(roots[i])
+                u.append(max(own, ids[i]))
+                v.append(min(own, ids[i]))
+    return u, v
+
+
+def open_links(docs: DataFrame, clusters: DataFrame, roots: DataFrame, n: int, percent: int) -> DataFrame:
+    """(u, v): links between components inside clusters (rep, cluster)."""
+    rows = clusters.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    rows = settled(rows)
+    counts = rows.groupBy("cluster", "root").agg(F.count("*").alias("n"))
+    open_ = counts.groupBy("cluster").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("roots")).where("roots > 1")
+    chunks = lambda c: F.ceil(c / CHUNK).cast("int")
+    open_ = open_.select("cluster", "main", chunks(F.col("n")).alias("parts"), chunks(F.col("n") - F.col("most")).alias("asks"))
+    member = settled(rows.join(open_, "cluster"))
+    full = settled(member.join(sets_of(docs, member.select(F.col("rep").alias("id")), n), F.col("rep") == F.col("id")).drop("id"))
     part = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
     ask = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("asks")).cast("int")
-    # every chunk of a region meets every chunk of its askers
-    all_rows = member.select("key", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("asks") - 1)).alias("ask"), "rep", "root", "sig")
-    askers = member.where("root != main").select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), ask.alias("ask"), "rep", "root", "sig")
-
-    def compare(left, right):
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
-        ids, root = (left[c].to_numpy() for c in ("rep", "root"))
-        sig = np.frombuffer(b"".join(left["sig"].to_pylist()), np.uint8).reshape(-1, VALUES)
-        u, v = [], []
-        for i, r, s in zip(right["rep"].to_pylist(), right["root"].to_pylist(), right["sig"].to_pylist()):
-            hit = np.flatnonzero((root != r) & (np.count_nonzero(sig == np.frombuffer(s, np.uint8), axis=1) >= least))
-            u += np.maximum(ids[hit], i).tolist()
-            v += np.minimum(ids[hit], i).tolist()
+    # every chunk of a cluster meets every chunk of its askers
+    every = full.select("cluster", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("asks") - 1)).alias("ask"), "rep", "root", "set")
+    askers = full.where("root != main").select("cluster", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), ask.alias("ask"), "rep", "root", "set")
+
+    def meet(left, right):
+        rows = [[(r["rep"], r["root"], np.frombuffer(r["set"], "<u8")) for r in x.select(["rep", "root", "set"]).to_pylist()] for x in (left, right)]
+        u, v = compare(*rows, percent) if all(rows) else ([], [])
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    keys = ["key", "part", "ask"]
-    return all_rows.groupBy(*keys).cogroup(askers.groupBy(*keys)).applyInArrow(compare, "u long, v long").where("u != v").distinct()
+    keys = ["cluster", "part", "ask"]
+    return settled(every.groupBy(*keys).cogroup(askers.groupBy(*keys)).applyInArrow(meet, "u long, v long").where("u != v").distinct())
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id): ids with null as LAST_ID."""
     base = settled(signed(docs, n))
     classes = settled(base.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min(F.struct("id", "sig")).alias("m")).select("s1", "s2", F.col("m.id").alias("rep"), F.col("m.sig").alias("sig")))
-    orders = ordered(classes)
-    links = confirmed(docs, head_pairs(orders), n, percent)
+    found = settled(neighbours(ordered(classes)))
+    links = confirmed(docs, best_pairs(found), n, percent)
     roots = components(links)
-    more = confirmed(docs, open_pairs(classes, orders, roots, percent), n, percent)
-    roots = components(links.unionByName(more))
+    clusters = components(found.select(F.col("rep").alias("u"), F.col("head").alias("v")))
+    clusters = clusters.select(F.col("node").alias("rep"), F.col("root").alias("cluster"))
+    clusters = clusters.unionByName(clusters.select(F.col("cluster").alias("rep"), "cluster").distinct())
+    roots = components(links.unionByName(open_links(docs, clusters, roots, n, percent)))
     found = classes.select("s1", "s2", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("root", "rep").alias("component_id"))
     full = base.where("n_shingles > 0").select("id", "n_shingles", "s1", "s2").join(found, ["s1", "s2"]).select("id", "n_shingles", "component_id")
     return full.unionByName(base.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id")))
