@@ -8,7 +8,6 @@ import re
 import tempfile
 import zipfile
 from collections.abc import Callable
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -180,8 +179,3 @@ def save(raw: bytes, path: str) -> None:
     except BaseException:
         os.unlink(temp)
         raise
-
-
-@lru_cache(maxsize=1)
-def formats_pattern() -> str:
-    return "|".join(FORMATS)

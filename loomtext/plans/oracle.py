@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from ..functions import tables
 from ..operators.convert import token_pattern
 from ..operators.matcher import SEGMENT_EXCLUSIVE, SEGMENT_INCLUSIVE, is_scalar
 
@@ -46,6 +45,3 @@ def dict_rows(slots: Mapping[str, Mapping[str, str]]) -> str:
     """VALUES (slot, key, value, ord)."""
     rows = [f"({text(s)}, {text(k)}, {text(v)}, {i})" for s, own in slots.items() for i, (k, v) in enumerate(own.items())]
     return f"(VALUES {', '.join(rows)}) AS d(slot, key, value, ord)"
-
-
-SPACES = tables.SPACES

@@ -15,7 +15,6 @@ from pyspark.sql.functions import pandas_udf
 from .functions import tables
 from .operators import convert as C
 from .operators import detect, detofu, dictbuild, normalize, office, reflow, segment
-from .operators.matcher import merged
 from .operators.pipeline import convert_pipeline, page_pipeline
 from .plans import corpus, oracle
 from .plans.configs import CONFIGS, supported_configs
@@ -419,8 +418,3 @@ def _office(spark, sf_dir):
 
 def oracle_sql() -> dict[str, str]:
     return {name: build() for name, build in ORACLES.items()}
-
-
-def merged_table(config: str) -> dict[str, str]:
-    """The first round of a config as one dictionary."""
-    return merged([load()[s] for s in CONFIGS[config].plan()[0]])

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-BOMS = {"utf-16": codecs.BOM_UTF16_LE, "utf-16le": codecs.BOM_UTF16_LE, "utf-16be": codecs.BOM_UTF16_BE, "utf-32": codecs.BOM_UTF32_LE}
 _ALIASES = {"unicode": "utf-16le", "utf8": "utf-8", "utf16": "utf-16le", "utf-16": "utf-16le", "utf32": "utf-32le", "utf-32": "utf-32le", "sjis": "shift_jis", "shift-jis": "shift_jis", "gb2312": "gbk"}
 
 

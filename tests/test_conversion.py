@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from loomtext.operators import matcher
-from loomtext.operators.convert import Converter, convert, rounds_of
+from loomtext.operators.convert import Converter, convert
 from loomtext.operators.matcher import DELIMITERS, Pipeline, Round, ids_end, ids_split, is_split_sensitive, merged
 from loomtext.plans.configs import CONFIGS, is_valid_config, parse_config, supported_configs
 from loomtext.plans.slots import CustomSpec, Mode, Slot
