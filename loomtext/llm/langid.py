@@ -14,6 +14,7 @@ Null doc_ids are never held out and never learned from. Every input row gives on
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -27,7 +28,10 @@ from ._util import batches_by_bytes, documents
 
 LETTER = regex.compile(r"\p{L}")
 MOST_CELLS = 20_000_000
-CACHE_WORDS = 300_000
+#: Numbers that a worker's table of word scores holds.
+CACHE_CELLS = 2_000_000
+#: Distinct words that a training task gathers before it counts their pieces.
+FLUSH_WORDS = 200_000
 #: Words longer than this are scored in parts of this many bytes.
 PART = 48
 
@@ -40,9 +44,17 @@ def read_pieces(path: str | None = None) -> dict[bytes, int]:
     return {base64.b64decode(t): int(r) for t, r in pairs}
 
 
-def words_of(text: str) -> list[bytes]:
-    """Words lower-cased, with the space that pieces of this vocabulary begin with; digits and symbols are left out."""
-    return [b" " + w.encode() for w in regex.findall(r"\p{L}+", text.lower())]
+_WORD = re.compile(r"[^\W\d_]+")
+
+
+def words_of(text: str) -> list[str]:
+    """Words lower-cased; digits and symbols are left out."""
+    return _WORD.findall(text.lower())
+
+
+def piece_bytes(word: str) -> bytes:
+    """A word as pieces of this vocabulary see it, with the space that they begin with."""
+    return b" " + word.encode()
 
 
 def held_out(doc_id) -> bool:
@@ -55,20 +67,36 @@ class Scorer:
     def __init__(self, pieces: dict[bytes, int], langs: list[str], prob: np.ndarray):
         self.pieces, self.langs, self.prob = pieces, langs, prob  # prob: piece x language
         self.longest = min(PART, max(map(len, pieces), default=1))
-        self.cache: dict[bytes, np.ndarray] = {}
-
-    def score(self, words: list[bytes]) -> None:
-        """Adds the words to the cache: words of one length go through the forward pass together."""
+        self.most = max(10_000, CACHE_CELLS // max(1, len(langs)))
+        self.clear()
+
+    def clear(self) -> None:
+        self.index: dict[str, int] = {}
+        self.table = np.empty((0, len(self.langs)))
+
+    def learn(self, words: list[str]) -> None:
+        """Adds words that are not yet known: those of one length go through the forward pass together."""
+        at = len(self.index)
+        self.index.update(zip(words, range(at, at + len(words))))
+        if at + len(words) > len(self.table):
+            self.table = np.concatenate([self.table, np.empty((max(len(words), len(self.table), 1024), len(self.langs)))])
         by_len = defaultdict(list)
-        for w in words:
-            by_len[len(w)].append(w)
+        for i, w in enumerate(words, at):
+            w = piece_bytes(w)
+            by_len[len(w)].append((i, w))
         for n, group in by_len.items():
             for k in range(0, len(group), 2048):
-                part = group[k : k + 2048]
-                total = np.zeros((len(part), len(self.langs)))
-                for a in range(0, n, PART):
-                    total += self._forward([w[a : a + PART] for w in part])
-                self.cache.update(zip(part, total))
+                rows, part = zip(*group[k : k + 2048])
+                self.table[list(rows)] = sum(self._forward([w[a : a + PART] for w in part]) for a in range(0, n, PART))
+
+    def score(self, words: list[str]) -> np.ndarray:
+        """Rows of words x languages."""
+        if missing := [w for w in dict.fromkeys(words) if w not in self.index]:
+            if len(self.index) + len(missing) > self.most:
+                self.clear()
+                missing = list(dict.fromkeys(words))
+            self.learn(missing)
+        return self.table[np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))]
 
     def _forward(self, part: list[bytes]) -> np.ndarray:
         n, get = len(part[0]), self.pieces.get
@@ -88,23 +116,31 @@ class Scorer:
                 logs += np.log(top[0])
         return np.log(np.maximum(alpha[n], 1e-300)) + logs
 
-    def text(self, text: str | None) -> tuple[str, float]:
-        if not text or not LETTER.search(text) or not self.langs:
-            return "und", 0.0
-        own = Counter(words_of(text))
-        if missing := [w for w in own if w not in self.cache]:
-            if len(self.cache) + len(missing) > CACHE_WORDS:
-                self.cache.clear()
-                missing = list(own)
-            self.score(missing)
-        if not own:
-            return "und", 0.0
-        n = np.fromiter(own.values(), float, len(own))
-        total = n @ np.array([self.cache[w] for w in own])
-        p = np.exp(total - total.max())
-        p /= p.sum()
-        best = int(np.argmax(p))
-        return self.langs[best], float(min(1.0, p[best]))
+    def texts(self, texts: list[str | None], most: int = 200_000) -> list[tuple[str, float]]:
+        """Language and score of each text; texts are taken together until they have most words."""
+        out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
+        who, sizes, words = [], [], []
+
+        def flush() -> None:
+            if not who:
+                return
+            total = np.add.reduceat(self.score(words), np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64), axis=0)
+            p = np.exp(total - total.max(axis=1, keepdims=True))
+            p /= p.sum(axis=1, keepdims=True)
+            for i, best, row in zip(who, p.argmax(axis=1).tolist(), p):
+                out[i] = (self.langs[best], float(min(1.0, row[best])))
+            who.clear(), sizes.clear(), words.clear()
+
+        for i, t in enumerate(texts):
+            if not t or not self.langs or not LETTER.search(t) or not (own := words_of(t)):
+                continue
+            who.append(i)
+            sizes.append(len(own))
+            words += own
+            if len(words) > most:
+                flush()
+        flush()
+        return out
 
 
 def fit(docs: DataFrame, path: str | None = None, smoothing: float = 0.5) -> tuple[dict[bytes, int], list[str], np.ndarray]:
@@ -115,24 +151,28 @@ def fit(docs: DataFrame, path: str | None = None, smoothing: float = 0.5) -> tup
     def count(batches):
         import tiktoken
 
-        coder = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=shared.value, special_tokens={})
-        found: dict[str, Counter] = defaultdict(Counter)
-        cache: dict[bytes, list[int]] = {}
-        for b in batches_by_bytes(batches, "text"):
-            words: dict[str, Counter] = defaultdict(Counter)
+        # a word is a space and what follows it, so many words are encoded in one call
+        coder = tiktoken.Encoding("pieces", pat_str=r" [^ ]+", mergeable_ranks=shared.value, special_tokens={})
+        found: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(shared.value), np.int64))
+        words: dict[str, Counter] = defaultdict(Counter)
+
+        def flush() -> None:
+            for lang, own in words.items():
+                by_count = defaultdict(list)
+                for w, n in own.items():
+                    by_count[n].append(w)
+                for n, group in by_count.items():
+                    found[lang] += n * np.bincount(coder.encode_ordinary(" " + " ".join(group)), minlength=len(shared.value))
+            words.clear()
+
+        for b in batches_by_bytes(batches, "text", 2 << 20):
             for doc, text, lang in zip(*(c.to_pylist() for c in b.columns)):
                 if doc is not None and lang is not None and text and not held_out(doc):
                     words[lang].update(words_of(text))
-            for lang, own in words.items():
-                total = found[lang]
-                for w, n in own.items():
-                    if (ids := cache.get(w)) is None:
-                        if len(cache) > CACHE_WORDS:
-                            cache.clear()
-                        ids = cache[w] = coder.encode_ordinary(w.decode())
-                    for i in ids:
-                        total[i] += n
-        rows = [(lang, i, n) for lang, own in found.items() for i, n in own.items()]
+            if sum(map(len, words.values())) > FLUSH_WORDS:
+                flush()
+        flush()
+        rows = [(lang, i, n) for lang, own in found.items() for i in np.flatnonzero(own).tolist() for n in (int(own[i]),)]
         cols = list(zip(*rows)) if rows else [(), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], ["lang", "piece", "n"])
 
@@ -168,7 +208,7 @@ def predict(docs: DataFrame, model: tuple) -> DataFrame:
         scorer = _scorer(shared)
         for b in batches_by_bytes(batches, "text"):
             ids = b.column(0).to_pylist()
-            out = [scorer.text(t) for t in b.column(1).to_pylist()]
+            out = scorer.texts(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([held_out(i) for i in ids], pa.bool_()), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"]
             )
