@@ -347,7 +347,7 @@ def _close_dialog(p: Paragraphs, line: Line) -> None:
         p.end()
 
 
-def _merge(p: Paragraphs, line: Line, header: bool) -> None:
+def take(p: Paragraphs, line: Line, header: bool) -> None:
     if is_divider(line.probe):
         p.alone(line)
         return
@@ -384,7 +384,7 @@ def paragraphs(text: str | None, header: bool = False) -> list[str]:
         return []
     p = Paragraphs()
     for raw in text.replace("\r\n", "\n").replace("\r", "\n").split("\n"):
-        _merge(p, Line(raw, raw.rstrip(t.SPACES).lstrip(" ")), header)
+        take(p, Line(raw, raw.rstrip(t.SPACES).lstrip(" ")), header)
     p.end()
     return p.done
 

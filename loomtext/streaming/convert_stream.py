@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.convert import convert
-from ..operators.reflow import Line, Paragraphs, _merge
+from ..operators.reflow import Line, Paragraphs, take
 from ..functions.tables import SPACES
 
 
@@ -41,7 +41,7 @@ def reflow_stream(lines: DataFrame, header: bool = False, idle: str = "10 minute
         else:
             for raw in pd.concat(list(parts)).sort_values("line_no")["line"]:
                 raw = raw or ""
-                _merge(p, Line(raw, raw.rstrip(SPACES).lstrip(" ")), header)
+                take(p, Line(raw, raw.rstrip(SPACES).lstrip(" ")), header)
             kept.update((p.text, "".join(p.quotes.elements())))
             kept.setTimeoutDuration(int(wait))
         yield pd.DataFrame({"doc_id": [key[0]] * len(p.done), "para": p.done})
