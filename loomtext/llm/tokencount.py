@@ -12,6 +12,7 @@ Defined results. Null or empty text, or only white space: no tokens. Every input
 
 from __future__ import annotations
 
+import gc
 import math
 from collections import Counter
 
@@ -22,7 +23,9 @@ from pyspark.sql import functions as F
 from ._util import batches_by_bytes, documents
 
 MARK = "▁"
-TRIE_NODES = 600_000
+TRIE_NODES = 400_000
+#: Words whose counts a worker remembers after the trie has been renewed.
+KNOWN_WORDS = 700_000
 
 
 def read_pieces(path: str | None = None) -> dict[str, float]:
@@ -36,46 +39,57 @@ def read_pieces(path: str | None = None) -> dict[str, float]:
 
 
 class Trie:
-    """Nodes are [score, pieces, children]; the path to a node gives its prefix."""
+    """Nodes are [score, pieces, children, open]: the best path to a prefix, and the pieces that may still end
+    behind it, each as (its node among the pieces, score and pieces where it began)."""
 
     def __init__(self, pieces: dict[str, float]):
-        self.pieces = pieces
         self.longest = max(map(len, pieces), default=1)
         self.byte = -math.log(len(pieces) + 2)
+        self.pieces: list = [{}, None]  # [children, score]
+        for piece, score in pieces.items():
+            node = self.pieces
+            for c in piece:
+                node = node[0].setdefault(c, [{}, None])
+            node[1] = score
+        self.known: dict[bytes, int] = {}
         self.clear()
 
     def clear(self) -> None:
-        self.root = [0.0, 0, {}]
+        self.root = [0.0, 0, {}, ()]
         self.nodes = 1
-        self.known: dict[str, int] = {}
+
+    def _child(self, node: list, c: str) -> list:
+        size = 1 if c < "\x80" else len(c.encode())
+        score, n = node[0] + size * self.byte, node[1] + size
+        still = []
+        for piece, from_score, from_n in (*node[3], (self.pieces, node[0], node[1])):
+            longer = piece[0].get(c)
+            if longer is not None:
+                still.append((longer, from_score, from_n))
+                if (s := longer[1]) is not None:
+                    s, m = from_score + s, from_n + 1
+                    if s > score or s == score and m < n:
+                        score, n = s, m
+        child = node[2][c] = [score, n, {}, still]
+        self.nodes += 1
+        return child
 
     def count(self, word: str) -> int:
         """Pieces of the best path of a word, from nodes that words with the same prefix share."""
-        if (n := self.known.get(word)) is not None:
-            return n
         if self.nodes > TRIE_NODES:
             self.clear()
-        path = [self.root]
         node = self.root
-        for j, c in enumerate(word, 1):
-            child = node[2].get(c)
-            if child is None:
-                size = len(c.encode())
-                score, n = node[0] + size * self.byte, node[1] + size
-                for i in range(max(0, j - self.longest), j):
-                    if (s := self.pieces.get(word[i:j])) is not None:
-                        before = path[i]
-                        got, m = before[0] + s, before[1] + 1
-                        if got > score or got == score and m < n:
-                            score, n = got, m
-                child = [score, n, {}]
-                node[2][c] = child
-                self.nodes += 1
-            node = child
-            path.append(node)
-        self.known[word] = node[1]
+        for c in word:
+            node = node[2].get(c) or self._child(node, c)
         return node[1]
 
+    def learn(self, raw: bytes) -> int:
+        """The count of a word, remembered."""
+        if len(self.known) > KNOWN_WORDS:
+            self.known.clear()
+        n = self.known[raw] = self.count(MARK + raw.decode("utf-8", "replace"))
+        return n
+
 
 _tries: dict[int, tuple] = {}
 
@@ -97,13 +111,24 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches):
         trie = _trie(shared)
-        for b in batches_by_bytes(batches, "text"):
-            words, tokens = [], []
-            for text in b.column(1).to_pylist():
-                own = Counter((text or "").encode().split())
-                words.append(sum(own.values()))
-                tokens.append(sum(n * trie.count(MARK + w.decode("utf-8", "replace")) for w, n in own.items()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], ["doc_id", "n_pretokens", "n_tokens"])
+        known = trie.known.get
+        gc.disable()  # a trie has no cycles, and walking it over and over costs more than building it
+        try:
+            for b in batches_by_bytes(batches, "text"):
+                words, tokens = [], []
+                for text in b.column(1).to_pylist():
+                    own = Counter((text or "").encode().split())
+                    total = 0
+                    for w, n in own.items():
+                        if (k := known(w)) is None:
+                            k = trie.learn(w)
+                        total += n * k
+                    words.append(sum(own.values()))
+                    tokens.append(total)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], ["doc_id", "n_pretokens", "n_tokens"])
+        finally:
+            gc.freeze()
+            gc.enable()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_pretokens long, n_tokens long")
 
