@@ -19,15 +19,16 @@ from __future__ import annotations
 import hashlib
 import re
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._util import scratch, settled
+from ._util import batches_by_bytes, scratch, settled, small_batches
 
 VERSION = "WARC/1.0"
 END = "\r\n\r\n"
+#: Repeated payloads of one broadcast (about 100 bytes each).
+MOST_BROADCAST = 200_000
 DELIMITER = f"\n{VERSION}\r"  # no proper prefix of it is a suffix, so it is found alike from any split
 
 
@@ -36,6 +37,9 @@ def records(pages: DataFrame, least: int = 100, date: str = "1970-01-01T00:00:00
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"), F.octet_length(html).alias("size"))
     first = rows.where(F.col("size") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = settled(first)
+    if first.count() <= MOST_BROADCAST:  # payloads that occur more than once; beyond it pages are shuffled
+        first = F.broadcast(first)
     rows = rows.join(first, "digest", "left")
     revisit = F.col("first").isNotNull() & F.coalesce(F.col("page_id") != F.col("first"), F.lit(True))
 
@@ -65,7 +69,7 @@ def write(pages: DataFrame, path: str, least: int = 100) -> None:
 
 
 _HEAD = re.compile(rb"(?im)^([A-Za-z-]+):[ \t]*(.*?)[ \t]*\r$")
-_PIECE = "path string, block long, rel long, size long, head int, length long, kind string, page long, refers long, digest string, payload long, whole boolean, content binary"
+_PIECE = "file long, block long, rel long, size long, head int, length long, kind string, page long, refers long, digest string, payload long, whole boolean, content binary"
 
 
 def _number(urn: bytes | None) -> int | None:
@@ -91,24 +95,25 @@ def _payload(block: bytes) -> tuple[int, bytes]:
 
 
 def pieces(spark: SparkSession, path: str) -> DataFrame:
-    """Every piece between magic lines with its offset in its split. Whole records are digested at once; the content
-    of others, and of pieces that are no record of their own, comes along."""
-    rows = spark.read.option("lineSep", DELIMITER).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value"))
+    """Every piece between magic lines with its offset in its split; files are named by a hash of their path. Whole
+    records are digested at once; the content of others, and of pieces that are no record of their own, comes along."""
+    rows = spark.read.option("lineSep", DELIMITER).text(path)
+    rows = rows.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value"))
 
     def run(batches):
         split, rel = None, 0
-        for b in batches:
+        for b in batches_by_bytes(batches, "value", 4 << 20):
             out = []
-            for path, block, body in zip(*(c.to_pylist() for c in b.columns)):
-                if (path, block) != split:
-                    split, rel = (path, block), 0
+            for file, block, body in zip(*(c.to_pylist() for c in b.columns)):
+                if (file, block) != split:
+                    split, rel = (file, block), 0
                     if block == 0:
                         own = f"{VERSION}\r".encode()
                         if not body.startswith(own):
-                            raise ValueError(f"{path} does not start with a record")
+                            raise ValueError("an archive does not start with a record")
                         body, rel = body[len(own) :], len(own)
                 p = _parse(body)
-                row = {"path": path, "block": block, "rel": rel, "size": len(body) + len(DELIMITER), "payload": None, "content": None} | p
+                row = {"file": file, "block": block, "rel": rel, "size": len(body) + len(DELIMITER), "payload": None, "content": None} | p
                 # a whole record is followed by CRLF CRLF, whose last \n begins the delimiter; at a file's end it is there
                 rest = body[p["head"] + p["length"] :] if p["length"] is not None else None
                 row["whole"] = rest in (b"\r\n\r", b"\r\n\r\n")
@@ -128,74 +133,82 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
     return rows.mapInArrow(run, _PIECE)
 
 
+def _offsets(rows: list[tuple], *names: str) -> pa.Table:
+    cols = list(zip(*rows)) if rows else [()] * len(names)
+    return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(names, cols)})
+
+
 def chain(candidates: DataFrame) -> DataFrame:
-    """(path, block, at) of candidates (path, block, at, next) that the chain from offset 0 of their file reaches."""
+    """(file, at) of candidates (file, block, at, next) that the chain from offset 0 of their file reaches."""
 
-    def contract(pdf: pd.DataFrame) -> pd.DataFrame:
+    def contract(key, table):
         leaves: dict[int, int] = {}
-        for at, after in sorted(zip(pdf["at"], pdf["next"]), reverse=True):
+        for at, after in sorted(zip(table["at"].to_pylist(), table["next"].to_pylist()), reverse=True):
             leaves[at] = leaves.get(after, after)
-        return pd.DataFrame({"path": pdf["path"].iloc[0], "at": list(leaves), "next": list(leaves.values())})
+        return _offsets([(key[0].as_py(), at, after) for at, after in leaves.items()], "file", "at", "next")
 
-    jump = settled(candidates.groupBy("path", "block").applyInPandas(contract, "path string, at long, next long"))
-    reached = settled(jump.where("at = 0").select("path", "at"))
+    jump = settled(candidates.groupBy("file", "block").applyInArrow(contract, "file long, at long, next long"))
+    reached = settled(jump.where("at = 0").select("file", "at"))
     n = reached.count()
     while True:
-        step = reached.join(jump, ["path", "at"]).select("path", F.col("next").alias("at"))
-        more = step.join(jump.select("path", "at"), ["path", "at"], "left_semi")
+        step = reached.join(jump, ["file", "at"]).select("file", F.col("next").alias("at"))
+        more = step.join(jump.select("file", "at"), ["file", "at"], "left_semi")
         reached = settled(reached.unionByName(more).distinct())
         now = reached.count()
         if now == n:
             break
         n = now
-        on = jump.select("path", F.col("at").alias("next"), F.col("next").alias("far"))
-        jump = settled(jump.join(on, ["path", "next"], "left").select("path", "at", F.coalesce("far", "next").alias("next")))
+        on = jump.select("file", F.col("at").alias("next"), F.col("next").alias("far"))
+        jump = settled(jump.join(on, ["file", "next"], "left").select("file", "at", F.coalesce("far", "next").alias("next")))
 
-    entries = settled(reached.join(candidates.select("path", "at", "block"), ["path", "at"]).select("path", "block", F.col("at").alias("entry")))
+    entries = settled(reached.join(candidates.select("file", "at", "block"), ["file", "at"]).select("file", "block", F.col("at").alias("entry")))
 
-    def walk(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        after = dict(zip(left["at"], left["next"]))
-        out = []
-        for at in sorted(right["entry"]):
-            while at in after and (not out or at > out[-1]):
-                out.append(at)
+    def walk(key, left, right):
+        after = dict(zip(left["at"].to_pylist(), left["next"].to_pylist()))
+        out: list[tuple] = []
+        for at in sorted(right["entry"].to_pylist()):
+            while at in after and (not out or at > out[-1][1]):
+                out.append((key[0].as_py(), at))
                 at = after[at]
-        return pd.DataFrame({"path": left["path"].iloc[0] if len(left) else "", "at": out}) if out else pd.DataFrame({"path": pd.Series([], dtype=object), "at": pd.Series([], dtype="int64")})
+        return _offsets(out, "file", "at")
+
+    return candidates.groupBy("file", "block").cogroup(entries.groupBy("file", "block")).applyInArrow(walk, "file long, at long")
+
+
+_DONE = "page long, payload long, digest string, kind string, refers long"
+
 
-    return candidates.groupBy("path", "block").cogroup(entries.groupBy("path", "block")).applyInPandas(walk, "path string, at long")
+def _mend(table):
+    """One record from the pieces up to its successor."""
+    parts = sorted(table.to_pylist(), key=lambda r: r["at"])
+    first = parts[0]
+    body = DELIMITER.encode().join(r["content"] for r in parts)
+    stated, payload = _payload(body[first["head"] : first["head"] + first["length"]])
+    revisit = first["kind"] == "revisit"
+    size, digest = (stated, first["digest"]) if revisit else (len(payload), hashlib.sha256(payload).hexdigest())
+    return pa.table({"page": pa.array([first["page"]], pa.int64()), "payload": pa.array([size], pa.int64()), "digest": [digest], "kind": [first["kind"]], "refers": pa.array([first["refers"]], pa.int64())})
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record of the archives."""
     found = settled(pieces(spark, path))
-    splits = found.groupBy("path", "block").agg(F.sum("size").alias("bytes"), F.min("rel").alias("lead"))
-    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row for each split of a file
-    splits = splits.select("path", "block", F.coalesce(F.sum(F.col("bytes") + F.col("lead")).over(before), F.lit(0)).alias("base"))
+    splits = found.groupBy("file", "block").agg(F.sum("size").alias("bytes"), F.min("rel").alias("lead"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row for each split of a file
+    splits = settled(splits.select("file", "block", F.coalesce(F.sum(F.col("bytes") + F.col("lead")).over(before), F.lit(0)).alias("base")))
     magic = len(VERSION) + 1
-    at = found.join(splits, ["path", "block"]).withColumn("at", F.col("base") + F.col("rel") - magic)
+    at = found.join(splits, ["file", "block"]).withColumn("at", F.col("base") + F.col("rel") - magic)
     at = at.withColumn("next", F.col("at") + magic + F.col("head") + F.col("length") + len(END))
-    good = chain(at.where("length IS NOT NULL").select("path", "block", "at", "next"))
-    # offsets of a file's records identify them
-    kept = at.join(good.withColumn("ok", F.lit(True)), ["path", "at"], "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
-    kept = settled(kept)
+    good = chain(at.where("length IS NOT NULL").select("file", "block", "at", "next"))
+    kept = settled(at.join(good.withColumn("ok", F.lit(True)), ["file", "at"], "left").withColumn("ok", F.coalesce("ok", F.lit(False))))
     whole = kept.where("ok AND whole").select("page", "payload", "digest", "kind", "refers")
-    broken = kept.where("ok AND NOT whole").select("path", F.col("at").alias("start"), F.col("next").alias("end"))
-    parts = kept.where("NOT ok OR NOT whole").join(broken, "path").where("at >= start AND at < end").select("path", "start", "at", "content", "head", "length", "page", "kind", "digest", "refers", F.col("whole"))
-
-    def mend(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("at")
-        first = pdf.iloc[0]
-        body = DELIMITER.encode().join(bytes(x) for x in pdf["content"])
-        stated, payload = _payload(body[int(first["head"]) : int(first["head"]) + int(first["length"])])
-        revisit = first["kind"] == "revisit"
-        return pd.DataFrame([{"page": first["page"], "payload": stated if revisit else len(payload), "digest": first["digest"] if revisit else hashlib.sha256(payload).hexdigest(), "kind": first["kind"], "refers": first["refers"]}]).astype({"page": "Int64", "refers": "Int64"})
-
-    mended = parts.groupBy("path", "start").applyInPandas(mend, "page long, payload long, digest string, kind string, refers long")
-    out = whole.unionByName(mended)
+    broken = kept.where("ok AND NOT whole").select("file", F.col("at").alias("start"), F.col("next").alias("end"))
+    parts = kept.where("NOT ok OR NOT whole").join(broken, "file").where("at >= start AND at < end").select("file", "start", "at", "content", "head", "length", "page", "kind", "digest", "refers")
+    out = whole.unionByName(parts.groupBy("file", "start").applyInArrow(_mend, _DONE))
     return out.select(F.col("page").alias("page_id"), F.col("payload").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), F.col("refers").alias("refers_to"))
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     path = scratch(spark)
     write(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     return read(spark, path)
