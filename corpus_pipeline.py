@@ -8,17 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.llm import bpe, decontaminate, line_dedup, near_dedup, quality
-from loomtext.llm._util import LAST_ID, documents, settled
+from loomtext.llm._util import LAST_ID, documents, settled, small_batches
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or the likelihood ratio go."""
+    small_batches(spark)
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.assess(docs, model).where("kept").select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of at least 10 characters stay only in the first document that holds them."""
+    small_batches(spark)
     out = line_dedup.line_dedup(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
@@ -27,6 +29,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one with the smallest doc_id."""
+    small_batches(spark)
     gone = near_dedup.near_duplicates(docs).where("id != component_id").select("id").distinct()
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
     return docs.join(gone, key == gone["id"], "left_anti")
@@ -34,11 +37,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with windows of two or more benchmark items go; from others the hit words are cut."""
+    small_batches(spark)
     return decontaminate.cleaned(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and of the decoded bytes."""
+    small_batches(spark)
     return bpe.digests(docs)
 
 

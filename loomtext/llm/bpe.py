@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,8 @@ from ._util import batches_by_bytes, documents
 
 MOST_BYTES = 64 << 20
 
-#: Pieces that one worker remembers, in two generations.
-CACHE_PIECES = 250_000
+#: Pieces that one task remembers, in two generations.
+CACHE_PIECES = 150_000
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -89,8 +90,12 @@ class Coder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tok, self.tokens = Tokenizer.from_str(model), tokens
         self.pieces = regex.compile(pattern).findall
-        self.young: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Pieces with their packed ids; a task starts and ends with none, so that idle workers stay small."""
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def learn(self, missing: list[str]) -> None:
         if len(self.young) + len(missing) > CACHE_PIECES:
@@ -98,10 +103,10 @@ class Coder:
         for i in range(0, len(missing), 4096):
             part = missing[i : i + 4096]
             for piece, e in zip(part, self.tok.encode_batch(part, add_special_tokens=False)):
-                self.young[piece] = tuple(e.ids)
+                self.young[piece] = struct.pack(f"<{len(e.ids)}I", *e.ids)
 
-    def encode(self, text: str) -> list[tuple[int, ...]]:
-        """The ids of every piece of the text in turn."""
+    def encode(self, text: str) -> list[int]:
+        """The ids of the text, piece by piece."""
         pieces = self.pieces(text)
         young, old = self.young, self.old
         missing = []
@@ -115,7 +120,7 @@ class Coder:
             self.learn(missing)
             if self.young is not young:  # turned over: pieces may be in either
                 young = self.old | self.young
-        return [young[p] for p in pieces]
+        return np.frombuffer(b"".join([young[p] for p in pieces]), "<u4").tolist()
 
     def decode(self, ids) -> bytes:
         tokens = self.tokens
@@ -159,7 +164,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
             ids, ends, starts = [], [], []
             for text in b.column(names.index("text")).to_pylist():
                 text = text or ""
-                own = [i for piece in coder.encode(text) for i in piece]
+                own = coder.encode(text)
                 raw = np.frombuffer(text.encode(), np.uint8)
                 end = np.cumsum([len(coder.tokens[i]) for i in own], dtype=np.int64)
                 char = np.cumsum((raw & 0xC0) != 0x80) - 1
@@ -168,6 +173,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
                 starts.append(char[np.concatenate([[0], end[:-1]]).astype(np.int64)] if len(own) else [])
             more = [pa.array(x, pa.list_(pa.int32())) for x in (ids, ends, starts)]
             yield pa.RecordBatch.from_arrays([*b.columns, *more], [*names, "ids", "byte_ends", "char_starts"])
+        coder.forget()
 
     return docs.mapInArrow(run, schema)
 
@@ -197,11 +203,12 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
         for b in batches_by_bytes(batches, "text"):
             n, coded, decoded = [], [], []
             for text in b.column(1).to_pylist():
-                ids = [i for piece in coder.encode(text or "") for i in piece]
+                ids = coder.encode(text or "")
                 n.append(len(ids))
                 coded.append(hashlib.sha256(b" ".join([shown[i] for i in ids])).hexdigest())
                 decoded.append(hashlib.sha256(coder.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(coded), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        coder.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
