@@ -52,7 +52,7 @@ def main() -> None:
 
     seconds = {name: round(timed(lambda n=name: Q.QUERIES[n](spark, sf_dir)), 3) for name in HEADLINE}
     rates = {}
-    for name, config in (("phrases_t2hkp", "t2hkp"), ("phrases_s2t", "s2t"), ("characters_t2jp", "t2jp")):
+    for name, config in (("phrases_t2hkp", "t2hkp"), ("phrases_t2tw", "t2tw"), ("characters_s2t", "s2t")):
         docs = corpus.phrase_corpus(spark, sf_dir, Q._keys(config)).unionByName(corpus.letter_corpus(spark, sf_dir)).repartition(int(cpus) * 2).cache()
         chars = docs.agg(F.sum(F.length("src"))).first()[0]
         rates[name] = round(chars / timed(lambda d=docs, c=config: d.select(convert("src", c).alias("o"))))
