@@ -27,6 +27,8 @@ from ._util import LAST_ID, batches_by_bytes, documents, ids_of, scratch, settle
 
 SPACE = b" \t\n\v\f\r"
 LEAST = 10
+#: A key is hot from so many documents on, or from a HOT_KEYS-th of all keys' documents if that is more.
+HOT_ROWS, HOT_KEYS = 500, 10_000
 
 
 def key_of(line: bytes) -> bytes | None:
@@ -119,7 +121,13 @@ def line_dedup(docs: DataFrame, batches: int = 4, fanout: int = 2) -> DataFrame:
         if high is not None:
             part = part.where(F.col("doc_id") <= high)
         runs.add(part)
-    gone = runs.earlier(keys).groupBy("doc_id").agg(F.collect_set("h1").alias("gone"))  # at most the lines of a document
+    # keys of very many documents would fill one bucket of the merge join; there are at most HOT_KEYS of them
+    n = keys.count()
+    hot = keys.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where(F.col("n") > max(HOT_ROWS, n // HOT_KEYS))
+    hot = settled(hot.drop("n"))
+    early = keys.join(F.broadcast(hot), ["h1", "h2"]).where("first < doc_id").drop("first")
+    early = early.unionByName(runs.earlier(keys.join(F.broadcast(hot), ["h1", "h2"], "left_anti")))
+    gone = early.groupBy("doc_id").agg(F.collect_set("h1").alias("gone"))  # at most the lines of a document
     names = docs.columns
     rows = docs.select(F.struct(*names).alias("row"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("__id"))
     rows = rows.join(gone.withColumnRenamed("doc_id", "__id"), "__id", "left").select("row", "text", "gone")
