@@ -134,7 +134,9 @@ def test_suffix_automaton():
 # ---- 2: lines
 
 
-def test_line_dedup(docs):
+@pytest.mark.parametrize("hot_rows", [500, 2])
+def test_line_dedup(docs, monkeypatch, hot_rows):
+    monkeypatch.setattr(line_dedup, "HOT_ROWS", hot_rows)
     key = lambda x: x.strip(b" \t\n\v\f\r").lower()
     holders = defaultdict(set)
     for i, x in zip(IDS, ROWS):
