@@ -12,6 +12,12 @@ SEPARATORS = ("，", "。", "", " “", "”")
 LETTERS = "台爲裏着麪說衞線群啓汉語国學\uf900\uf901\uf902\u2f00\u2f01\u2f02𬴂𠀾惡德為這"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files give fewer partitions; larger inputs stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def phrase_keys(keys) -> list[str]:
     return sorted(keys)
 
@@ -37,7 +43,7 @@ def phrase_sql(keys: list[str]) -> str:
 def letter_corpus(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     """(doc_id, src): texts with letters replaced by CJK characters."""
     key = "doc_id" if table == "documents" else "conv_id"
-    docs = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/{table}.parquet").select(key, "text"))
     return docs.select(F.col(key).alias("doc_id"), F.translate(F.lower("text"), "abcdefghijklmnopqrstuvwxyz", LETTERS).alias("src"))
 
 
