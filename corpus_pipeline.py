@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.llm import bpe, decontaminate, line_dedup, near_dedup, quality
-from loomtext.llm._util import LAST_ID, documents, settled, small_batches
+from loomtext.llm._util import documents, settled, small_batches
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,11 +28,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the smallest doc_id."""
+    """One row of each group of near copies stays: the one with the smallest doc_id, null last. Rows are judged one by one."""
     small_batches(spark)
-    gone = near_dedup.near_duplicates(docs).where("id != component_id").select("id").distinct()
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
-    return docs.join(gone, key == gone["id"], "left_anti")
+    return near_dedup.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

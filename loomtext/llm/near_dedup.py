@@ -224,6 +224,39 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     return full.unionByName(base.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id")))
 
 
+#: A text that has words.
+WORDED = r"[^\x20\x09-\x0D]"
+
+
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one row of each group of near copies: that of the smallest doc_id, null last. Rows without words stay.
+
+    Rows that share a doc_id, or have none, are nodes of their own, named by a hash of doc_id and text.
+    """
+    doc_id = F.col("doc_id").cast("long")
+    shared = settled(docs.groupBy(doc_id.alias("shared")).count().where("count > 1 OR shared IS NULL").select("shared"))
+    many = shared.count()
+    if not many:
+        gone = near_duplicates(docs, n, percent).where("id != component_id").select("id")
+        return docs.join(gone, doc_id == gone["id"], "left_anti")
+    if many <= MOST_BROADCAST:
+        shared = F.broadcast(shared)
+    same = doc_id.eqNullSafe(shared["shared"])
+    # above the ids of most tables, as heads are best the smallest ids
+    hashed = F.xxhash64("doc_id", "text").bitwiseAND(F.lit(2**62 - 1)).bitwiseOR(F.lit(2**62))
+    alone = docs.join(shared, same, "left_anti").withColumn("__node", doc_id)
+    met = docs.join(shared, same, "left_semi").withColumn("__node", hashed)
+    worded = F.coalesce(F.col("text").rlike(WORDED), F.lit(False))
+    # of rows with one doc_id and text the least by the other columns stays
+    one = met.where(worded).groupBy("__node").agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*", "__node")
+    nodes = settled(alone.unionByName(one).unionByName(met.where(~worded)))
+    found = settled(near_duplicates(nodes.select(F.col("__node").alias("doc_id"), "text"), n, percent).where("n_shingles > 0").select("id", "component_id"))
+    order = F.struct(doc_id.isNull(), doc_id, F.col("id"))
+    stay = found.join(nodes.select("__node", "doc_id"), F.col("id") == F.col("__node")).groupBy("component_id").agg(F.min(order).alias("first")).select("first.id")
+    gone = found.select(F.col("id").alias("gone")).join(stay, F.col("gone") == F.col("id"), "left_anti")
+    return nodes.join(gone, F.col("__node") == gone["gone"], "left_anti").select(*docs.columns)
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(documents(spark, sf_dir).select("doc_id", "text"), n=4)
     back = lambda c: F.when(F.col(c) != LAST_ID, F.col(c))

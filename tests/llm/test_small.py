@@ -228,6 +228,45 @@ def test_dense_region_with_open_links(spark):
     assert {r.id: r.component_id for r in out.collect()} == {i: find(i) for i, _ in rows}
 
 
+def test_stage_keeps_one_row_of_each_group(spark):
+    """Null and repeated ids, and rows that are the same in all columns, which the operator alone takes for one node."""
+    import corpus_pipeline as cp
+
+    base = prose(random.Random(99), 40)
+    more = [ROWS[0], (None, "null twice " + base, None, None, 1), (None, "null twice " + base, None, None, 1), (None, "null twice " + base, "en", None, 1), (None, "", None, None, 0), (None, "", None, None, 0), (3, "", None, None, 0)]
+    rows = [*ROWS, *more]
+    sets = []
+    for x in rows:
+        w = raw(x[1]).lower().split()
+        sets.append(frozenset({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else ()))
+    root = {s: s for s in sets}
+
+    def find(s):
+        while root[s] is not s:
+            s = root[s]
+        return s
+
+    kinds = list(root)
+    for a in range(len(kinds)):
+        for b in range(a):
+            both = len(kinds[a] & kinds[b])
+            if both and 100 * both >= 80 * len(kinds[a] | kinds[b]):
+                root[find(kinds[a])] = find(kinds[b])
+    first, empty = {}, Counter()
+    for x, s in zip(rows, sets):
+        if s:
+            first[find(s)] = min(first.get(find(s), LAST_ID), LAST_ID if x[0] is None else x[0])
+        else:
+            empty[x] += 1
+    own = dict(zip((x[1] for x in rows), sets))
+    out = cp.near_duplicates(spark, spark.createDataFrame(rows, DOCS).repartition(3), "")
+    assert out.columns == DOCS.replace(" long", "").replace(" string", "").split(", ")
+    got = [tuple(r) for r in out.collect()]
+    assert all(x in rows for x in got)
+    assert Counter(x for x in got if not own[x[1]]) == empty
+    assert sorted((id(find(own[x[1]])), LAST_ID if x[0] is None else x[0]) for x in got if own[x[1]]) == sorted((id(s), i) for s, i in first.items())
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 400)] + [(7, 7)]
