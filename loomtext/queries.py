@@ -86,11 +86,18 @@ def _registered(spark, sf_dir):
 
 
 def _ids_text():
-    return F.concat(F.lit("⿰氵漢"), F.substring("src", 1, 20), F.lit("（⿱艹⿰日月）漢⿰"))
+    return F.concat(F.lit("⿰氵漢"), F.col("src"), F.lit("（⿱艹⿰日月）漢⿰"))
+
+
+#: Rows of an Arrow batch of whole texts, which lies in the JVM and in Python with its parts at the same time.
+_BATCH_ROWS = 500
 
 
 @query("convert_ids")
 def _ids(spark, sf_dir):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= _BATCH_ROWS:
+        spark.conf.set(key, str(_BATCH_ROWS))
     docs = corpus.letter_corpus(spark, sf_dir)
     return docs.select("doc_id", C.convert(_ids_text(), "t2s", preserve_ids=True).alias("out"), F.size(segment.ids_parts(_ids_text())).alias("n_parts"))
 

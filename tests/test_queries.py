@@ -6,6 +6,7 @@ import pytest
 from conftest import rows_of
 
 from loomtext import queries as Q
+from loomtext.plans import corpus
 
 
 @pytest.mark.parametrize("name", sorted(Q.QUERIES))
@@ -28,6 +29,21 @@ def test_conversion_changes_something(spark, sf_dir, name):
     assert src.join(out, "doc_id").where("src <> out").count() > 0
 
 
+def test_ids_of_whole_texts(spark, tmp_path):
+    """Characters and sequences behind the twentieth character count."""
+    from loomtext.operators.convert import Converter
+    from loomtext.operators.matcher import ids_split
+
+    texts = ["", "x" * 19, "-" * 30 + "e h ⿰氵漢 漢 ⿱艹⿰日月 " * 3 + "⿱艹", "m" * 5000 + "⿲木木木e", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    src = {r.doc_id: r.src for r in corpus.letter_corpus(spark, str(tmp_path)).collect()}
+    convert = Converter("t2s", preserve_ids=True).text
+    got = {r.doc_id: (r.out, r.n_parts) for r in Q.QUERIES["convert_ids"](spark, str(tmp_path)).collect()}
+    whole = {i: s if s is None else f"⿰氵漢{s}（⿱艹⿰日月）漢⿰" for i, s in src.items()}
+    assert {i: x[0] for i, x in got.items()} == {i: convert(t) for i, t in whole.items()}
+    assert {i: x[1] for i, x in got.items() if whole[i]} == {i: len(ids_split(t)) for i, t in whole.items() if t}
+
+
 def test_partition_count_does_not_matter(spark, sf_dir):
     from loomtext.operators.convert import convert
     from loomtext.plans import corpus
