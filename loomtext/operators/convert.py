@@ -21,6 +21,8 @@ from ..sources.dictionaries import Dictionaries, load
 from .matcher import Pipeline, merged, pipeline_for
 
 BUCKETS = 1024
+#: Slots without which a config would leave every text as it is.
+NEEDED = {"t2jp": ("jps_characters_rev",), "jp2t": ("jps_characters",)}
 
 
 def rounds_of(config: str | Config, punctuation: bool = False, dicts: Dictionaries | None = None) -> list[dict[str, str]]:
@@ -87,7 +89,8 @@ def apply_rounds(col: Column, rounds: list[dict[str, str]], preserve_ids: bool =
 
 
 def convert(col: Column | str, config: str = DEFAULT, punctuation: bool = False, preserve_ids: bool = False, dicts: Dictionaries | None = None, native: bool = False, null_as_empty: bool = False) -> Column:
-    """The column converted; null stays null unless null_as_empty."""
+    """The column converted; null stays null unless null_as_empty. Raises where a config's only dictionary is empty."""
+    (dicts or load()).require(*NEEDED.get(parse_config(config).name, ()))
     col = F.col(col) if isinstance(col, str) else col
     if null_as_empty:
         col = F.coalesce(col, F.lit(""))

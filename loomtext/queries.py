@@ -41,19 +41,35 @@ def query(name: str, sql: Callable[[], str] | None = None):
 # ---- conversions
 
 
+#: Stand in for slots that would leave a config's text as it is while no directory fills them.
+_SEEDS = {
+    Slot.JPS_CHARACTERS_REV: tables.pairs("惡 悪|國 国|學 学|櫻 桜|澤 沢|邊 辺|廣 広|氣 気|德 徳|辨 弁|辯 弁|當 当"),
+    Slot.JPS_CHARACTERS: tables.pairs("悪 惡|国 國|学 學|桜 櫻|沢 澤|辺 邊|広 廣|気 氣|徳 德|弁 辨|当 當"),
+    Slot.JPS_PHRASES: tables.pairs("弁護士 辯護士|弁論 辯論"),
+    Slot.TW_PHRASES: tables.pairs("鼠標 滑鼠|硬盤 硬碟|軟件 軟體|操作系統 作業系統|文件夾 資料夾"),
+    Slot.TW_PHRASES_REV: tables.pairs("滑鼠 鼠標|硬碟 硬盤|軟體 軟件|作業系統 操作系統|資料夾 文件夾"),
+}
+
+
+def _given() -> Dictionaries:
+    """What is loaded, with seeds in the slots that it leaves empty."""
+    own = load()
+    return own.with_custom(*[CustomSpec(slot, pairs=pairs) for slot, pairs in _SEEDS.items() if not own[slot]])
+
+
 def _keys(config: str, dicts: Dictionaries | None = None) -> list[str]:
     """Keys of all rounds, each once, with some plain text between."""
-    found = {k for table in C.rounds_of(config, True, dicts) for k in table}
+    found = {k for table in C.rounds_of(config, True, dicts or _given()) for k in table}
     return corpus.phrase_keys(found | {"天地玄黃", "春眠不覺曉", "OK"})
 
 
 def _conversion(config: str, punctuation: bool) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = corpus.phrase_corpus(spark, sf_dir, _keys(config))
-        return docs.select("doc_id", C.convert("src", config, punctuation).alias("out"))
+        return docs.select("doc_id", C.convert("src", config, punctuation, dicts=_given()).alias("out"))
 
     def sql() -> str:
-        return f"SELECT doc_id, {oracle.rounds_sql('src', C.rounds_of(config, punctuation))} AS out FROM ({corpus.phrase_sql(_keys(config))})"
+        return f"SELECT doc_id, {oracle.rounds_sql('src', C.rounds_of(config, punctuation, _given()))} AS out FROM ({corpus.phrase_sql(_keys(config))})"
 
     query(f"convert_{config}" + "_punct" * punctuation, sql)(run)
 
@@ -66,7 +82,7 @@ for _config in CONFIGS:
 @query("convert_native_t2twp", lambda: ORACLES["convert_t2twp"]())
 def _native(spark, sf_dir):
     docs = corpus.phrase_corpus(spark, sf_dir, _keys("t2twp"))
-    return docs.select("doc_id", C.convert("src", "t2twp", native=True).alias("out"))
+    return docs.select("doc_id", C.convert("src", "t2twp", dicts=_given(), native=True).alias("out"))
 
 
 _CUSTOM = (CustomSpec(Slot.TW_VARIANTS, Mode.APPEND, pairs={"春眠": "早晨", "玄": "元"}), CustomSpec(Slot.TW_VARIANTS_PHRASES, Mode.OVERRIDE, pairs={"天地": "乾坤"}))

@@ -29,6 +29,23 @@ def test_conversion_changes_something(spark, sf_dir, name):
     assert src.join(out, "doc_id").where("src <> out").count() > 0
 
 
+@pytest.mark.parametrize("name,src,want", [("t2jp", "惡", "悪"), ("jp2t", "弁護士", "辯護士"), ("t2twp", "鼠標", "滑鼠"), ("tw2tp", "滑鼠", "鼠標"), ("s2twp", "鼠標", "滑鼠"), ("tw2sp", "滑鼠", "鼠标")])
+def test_configs_of_empty_slots_run_on_seeds(spark, sf_dir, name, src, want):
+    rows = corpus.phrase_corpus(spark, sf_dir, Q._keys(name)).join(Q.QUERIES[f"convert_{name}"](spark, sf_dir), "doc_id")
+    hit = rows.where(rows.src.contains(src)).collect()
+    assert hit and all(want[0] in r.out for r in hit)
+    assert rows.where("src <> out").count() > 0
+
+
+@pytest.mark.parametrize("name", ["t2jp", "jp2t"])
+def test_japanese_without_characters_is_an_error(spark, name):
+    from loomtext.operators.convert import convert
+    from loomtext.sources.dictionaries import Dictionaries
+
+    with pytest.raises(ValueError, match="is empty"):
+        convert("s", name, dicts=Dictionaries({}))
+
+
 def test_ids_of_whole_texts(spark, tmp_path):
     """Characters and sequences behind the twentieth character count."""
     from loomtext.operators.convert import Converter
