@@ -16,7 +16,7 @@ from __future__ import annotations
 import base64
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter, defaultdict, deque
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +32,6 @@ MOST_CELLS = 20_000_000
 CACHE_CELLS = 2_000_000
 #: Distinct words that a training task gathers before it counts their pieces.
 FLUSH_WORDS = 200_000
-#: Words longer than this are scored in parts of this many bytes.
-PART = 48
 
 
 def read_pieces(path: str | None = None) -> dict[bytes, int]:
@@ -66,7 +64,7 @@ class Scorer:
 
     def __init__(self, pieces: dict[bytes, int], langs: list[str], prob: np.ndarray):
         self.pieces, self.langs, self.prob = pieces, langs, prob  # prob: piece x language
-        self.longest = min(PART, max(map(len, pieces), default=1))
+        self.longest = max(map(len, pieces), default=1)
         self.most = max(10_000, CACHE_CELLS // max(1, len(langs)))
         self.clear()
 
@@ -84,10 +82,10 @@ class Scorer:
         for i, w in enumerate(words, at):
             w = piece_bytes(w)
             by_len[len(w)].append((i, w))
-        for n, group in by_len.items():
+        for group in by_len.values():
             for k in range(0, len(group), 2048):
                 rows, part = zip(*group[k : k + 2048])
-                self.table[list(rows)] = sum(self._forward([w[a : a + PART] for w in part]) for a in range(0, n, PART))
+                self.table[list(rows)] = self._forward(part)
 
     def score(self, words: list[str]) -> np.ndarray:
         """Rows of words x languages."""
@@ -101,20 +99,22 @@ class Scorer:
     def _forward(self, part: list[bytes]) -> np.ndarray:
         n, get = len(part[0]), self.pieces.get
         none = len(self.pieces)  # a row of zeros
-        alpha = np.zeros((n + 1, len(part), len(self.langs)))
-        alpha[0] = 1.0
+        # sums up to the last positions, as far back as a piece may begin
+        alpha = deque([np.ones((len(part), len(self.langs)))], maxlen=max(self.longest, 9))
         logs = np.zeros((len(part), len(self.langs)))
         for j in range(1, n + 1):
-            for i in range(max(0, j - self.longest), j):
-                at = [get(w[i:j], none) for w in part]
-                if j - i == 1 or min(at) < none:
-                    alpha[j] += alpha[i] * self.prob[at]
-            if j % 8 == 0:  # keep numbers in range
-                top = alpha[: j + 1].max(axis=(0, 2), keepdims=True) if j < 9 else alpha[j - 8 : j + 1].max(axis=(0, 2), keepdims=True)
-                top = np.maximum(top, 1e-280)
-                alpha[: j + 1] /= top
-                logs += np.log(top[0])
-        return np.log(np.maximum(alpha[n], 1e-300)) + logs
+            now = np.zeros((len(part), len(self.langs)))
+            for d in range(min(self.longest, j), 0, -1):
+                at = [get(w[j - d : j], none) for w in part]
+                if d == 1 or min(at) < none:
+                    now += alpha[-d] * self.prob[at]
+            alpha.append(now)
+            if j % 8 == 0:  # keep numbers in range, for each language by itself
+                top = np.maximum(np.max(list(alpha)[-9:], axis=0), 1e-280)
+                for x in alpha:
+                    x /= top
+                logs += np.log(top)
+        return np.log(np.maximum(alpha[-1], 1e-300)) + logs
 
     def texts(self, texts: list[str | None], most: int = 200_000) -> list[tuple[str, float]]:
         """Language and score of each text; texts are taken together until they have most words."""

@@ -412,6 +412,20 @@ def test_forward_sums_all_segmentations():
     assert np.isfinite(s.score(["ab" * 100])).all()
 
 
+def test_forward_of_long_words():
+    """Pieces across any position of a long word count."""
+    pieces = {bytes([b]): b for b in range(256)} | {b"ab": 256, b"bc": 257, b"abc": 258, "漢字".encode(): 259, b"abc" * 17: 260}
+    prob = np.random.default_rng(0).random((262, 2)) / 100
+    prob[-1] = 0
+    s = langid.Scorer(pieces, ["x", "y"], prob)
+    for word in ("abc" * 30, "漢字" * 12, "a" * 47 + "bc" * 9):
+        w = b" " + word.encode()
+        sums = [np.ones(2)]
+        for j in range(1, len(w) + 1):
+            sums.append(sum(sums[i] * prob[pieces[w[i:j]]] for i in range(j) if w[i:j] in pieces))
+        assert np.allclose(s.score([word])[0], np.log(sums[-1]), rtol=1e-12)
+
+
 def test_langid(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     odd = spark.createDataFrame([(None, "der die das", None), (10**6, None, "en"), (10**6 + 1, "123 !!", "en"), (10**6 + 2, "", "fr")], "doc_id long, text string, lang string")
