@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from functools import cached_property
 
 import pandas as pd
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ..functions import tables as t
-from .matcher import units
+from .matcher import char_class, units
 
 LONG_BUFFER = 120
 _TITLE = re.compile(t.TITLE_HEADING)
@@ -29,6 +30,13 @@ _NUMBER = f"[{t.LIST_NUMBERS}]"
 _CJK = "\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
 _LIST = re.compile(f"[{re.escape(t.LIST_BULLETS)}][{t.SPACES}]|\\({_NUMBER}{{1,2}}\\)|（{_NUMBER}{{1,2}}）|{_NUMBER}{{1,2}}(?:[)）、]|\\.[ {_CJK}])")
 _LIST_CLOSER = re.compile(f"{_NUMBER}{{1,2}}[)）]")
+_SPACE_RUN = re.compile(f"[{t.SPACES}]+")
+_RUNS = re.compile(f"(?P<cjk>[{_CJK}]+)|(?P<letters>[A-Za-z]+)|(?P<bracket>[{re.escape(''.join(t.BRACKETS) + ''.join(_BRACKET_CLOSERS))}])")
+_BRACKET = re.compile(f"[{re.escape(''.join(t.BRACKETS) + ''.join(_BRACKET_CLOSERS))}]")
+_QUOTE = re.compile(f"[{''.join(t.DIALOG)}{''.join(_QUOTE_OF)}{''.join(t.ALSO_CLOSE)}]")
+#: Characters kept of a paragraph's start and end, more than any rule looks at.
+HEAD, TAIL = 8, 8
+LETTERS_AHEAD = 4
 
 
 # ---- predicates on text
@@ -75,37 +83,31 @@ def mixed_cjk_ascii(s: str) -> bool:
 
 
 def mostly_cjk(s: str) -> bool:
-    cjk = latin = 0
-    for c in s:
-        if is_cjk(c):
-            cjk += 1
-        elif c.isascii() and c.isalpha():
-            latin += 1
-            if latin > cjk + 4:
-                return False
-    return 0 < cjk >= latin
+    """As much CJK as letters, which are never ahead by more than LETTERS_AHEAD."""
+    return Shape(s).mostly_cjk
 
 
 def unclosed_bracket(s: str) -> bool:
     """Brackets that do not nest or do not close."""
     stack = []
-    for c in s:
+    for c in _BRACKET.findall(s):
         if c in t.BRACKETS:
             stack.append(t.BRACKETS[c])
-        elif c in _BRACKET_CLOSERS and (not stack or stack.pop() != c):
+        elif not stack or stack.pop() != c:
             return True
     return bool(stack)
 
 
 def unclosed_quote(s: str) -> bool:
     open_: Counter[str] = Counter()
-    for c in s:
+    for c in _QUOTE.findall(s):
         if c in t.DIALOG:
             open_[c] += 1
-        elif (q := _QUOTE_OF.get(c) or t.ALSO_CLOSE.get(c)) is not None:
-            if not open_[q]:
-                return True
-            open_[q] -= 1
+            continue
+        q = _QUOTE_OF.get(c) or t.ALSO_CLOSE[c]
+        if not open_[q]:
+            return True
+        open_[q] -= 1
     return any(open_.values())
 
 
@@ -117,42 +119,96 @@ def is_divider(s: str) -> bool:
 
 def ends_like_sentence(s: str, level: int = 2) -> bool:
     """Level 3 strict, 2 also colons and ellipses in CJK text, 1 also semicolons."""
-    body = s.rstrip(t.SPACES)
-    if not trim(body):
-        return False
-    last = body[-1]
-    if last in t.STRONG_ENDS:
-        return True
-    if level >= 3 and last in ".:" and len(body) > 1 and is_cjk(body[-2]) and mostly_cjk(s):
-        return True
-    rest = body[:-1].rstrip(t.SPACES)
-    if rest and (last in _CLOSERS or last in "）)"):
-        if rest[-1] in t.STRONG_ENDS:
-            return True
-        before = rest[:-1].rstrip(t.SPACES)
-        if rest[-1] == "." and before and is_cjk(before[-1]) and mostly_cjk(s):
-            return True
-    if level >= 3:
-        return False
-    if mostly_cjk(s) and (last in "：…" or body.endswith("...")):
-        return True
-    return level < 2 and last in "；：;:"
+    return Shape(s).ends_like_sentence(level)
 
 
 def is_bracket_paragraph(s: str) -> bool:
     """Wholly inside one pair of brackets around mostly CJK text."""
-    s = trim(s)
-    if len(s) < 2 or t.BRACKETS.get(s[0]) != s[-1]:
-        return False
-    inner = trim(s[1:-1])
-    if not inner or not mostly_cjk(inner):
-        return False
-    depth = 0
-    for c in s:
-        depth += (c == s[0]) - (c == s[-1])
-        if depth < 0:
+    return Shape(s).in_one_bracket
+
+
+class Shape:
+    """What the rules ask of a text, kept up while text is added, so that no question reads the text again."""
+
+    def __init__(self, text: str = ""):
+        self.units = self.balance = self.ahead = self.depth = 0
+        self.has_cjk = self.crossed = self.sunk = False
+        self.brackets: list[str] = []
+        self.head = self.tail = ""
+        self.add(text)
+
+    def add(self, s: str) -> None:
+        self.units += units(s)
+        if len(self.head) < HEAD:
+            self.head = (self.head + s).lstrip(t.SPACES)[:HEAD]
+        self.tail = _SPACE_RUN.sub(" ", self.tail + _end_of(s))[-TAIL:]
+        first = self.head[:1]
+        closer = t.BRACKETS.get(first)
+        for kind, run in _telling_runs(s):
+            if kind == "cjk":
+                self.has_cjk = True
+                self.balance -= len(run)
+            elif kind == "letters":
+                self.balance += len(run)
+                self.ahead = max(self.ahead, self.balance)
+            elif run in t.BRACKETS:
+                self.brackets.append(t.BRACKETS[run])
+                self.depth += run == first
+            else:
+                self.crossed |= not self.brackets or self.brackets.pop() != run
+                if run == closer:
+                    self.depth -= 1
+                    self.sunk |= self.depth < 0
+
+    @property
+    def mostly_cjk(self) -> bool:
+        return self.has_cjk and self.balance <= 0 and self.ahead <= LETTERS_AHEAD
+
+    @property
+    def open_bracket(self) -> bool:
+        """Brackets that do not nest or do not close."""
+        return self.crossed or bool(self.brackets)
+
+    @property
+    def last(self) -> str:
+        return self.tail.rstrip()[-1:]
+
+    @property
+    def in_one_bracket(self) -> bool:
+        closed = self.last and t.BRACKETS.get(self.head[:1]) == self.last
+        return bool(closed) and self.mostly_cjk and self.depth == 0 and not self.sunk
+
+    def ends_like_sentence(self, level: int = 2) -> bool:
+        body = self.tail.rstrip()
+        inner = body[:-1].rstrip()
+        if not body:
+            return False
+        last, mark = body[-1], inner[-1:]
+        quoted = bool(mark) and (last in _CLOSERS or last in "）)")
+        if last in t.STRONG_ENDS or quoted and mark in t.STRONG_ENDS:
+            return True
+        if level < 2 and last in "；：;:":
+            return True
+        if not self.mostly_cjk:
             return False
-    return depth == 0
+        if quoted and mark == "." and is_cjk(inner[:-1].rstrip()[-1:] or " "):
+            return True
+        if level >= 3:
+            return last in ".:" and is_cjk(body[-2:-1] or " ")
+        return last in "：…" or body.endswith("...")
+
+
+def _telling_runs(s: str) -> Iterator[tuple[str, str]]:
+    """Runs of CJK and of letters, and single brackets, in order."""
+    return ((m.lastgroup, m[0]) for m in _RUNS.finditer(s))
+
+
+def _end_of(s: str) -> str:
+    """The end of a long text, far enough back to hold TAIL characters whatever spaces stand between."""
+    n = TAIL
+    while n < len(s) and len(_SPACE_RUN.sub(" ", s[-n:])) <= TAIL:
+        n *= 2
+    return s[-n:]
 
 
 def is_metadata(s: str) -> bool:
@@ -262,21 +318,31 @@ class Paragraphs:
 
     def __init__(self):
         self.done: list[str] = []
-        self.text = ""
+        self.parts: list[str] = []
+        self.shape = Shape()
         self.quotes: Counter[str] = Counter()
 
     def add(self, line: Line) -> None:
-        self.text += line.text
-        for c in line.text:
+        self.parts.append(line.text)
+        self.shape.add(line.text)
+        for c in _QUOTE.findall(line.text):
             if c in t.DIALOG:
                 self.quotes[c] += 1
             elif (q := _QUOTE_OF.get(c)) and self.quotes[q]:
                 self.quotes[q] -= 1
 
+    def resume(self, text: str, quotes: str) -> None:
+        """Goes on with a paragraph that was left open."""
+        self.parts, self.shape, self.quotes = [text] if text else [], Shape(text), Counter(quotes)
+
+    @property
+    def text(self) -> str:
+        return "".join(self.parts)
+
     def end(self) -> None:
-        if self.text:
+        if self.parts:
             self.done.append(self.text)
-        self.text = ""
+        self.parts, self.shape = [], Shape()
         self.quotes.clear()
 
     def alone(self, line: Line) -> None:
@@ -293,22 +359,22 @@ class Paragraphs:
 
     @property
     def in_bracket(self) -> bool:
-        return unclosed_bracket(self.text)
+        return self.shape.open_bracket
 
     @property
     def last(self) -> str:
-        return self.text.rstrip(t.SPACES)[-1:]
+        return self.shape.last
 
 
 def _blank(p: Paragraphs, header: bool) -> None:
     """A blank line ends a paragraph only where the text does, unless pages are marked."""
-    if p.text and not header and (p.in_dialog or p.in_bracket or p.last and p.last not in t.STRONG_ENDS):
+    if p.parts and not header and (p.in_dialog or p.in_bracket or p.last and p.last not in t.STRONG_ENDS):
         return
     p.end()
 
 
 def _splits_as_heading(p: Paragraphs, line: Line) -> bool:
-    if not p.text or not p.last and not p.in_bracket:
+    if not p.parts or not p.last and not p.in_bracket:
         return True
     if p.in_bracket or p.last in t.COMMAS:
         return False
@@ -327,10 +393,10 @@ def _start(p: Paragraphs, line: Line) -> None:
         p.alone(line)
         p.quotes = quotes  # a list item leaves an open dialog as it is
         return
-    follows_item = line.is_list and bool(_LIST.match(p.text.lstrip(t.SPACES)))
+    follows_item = line.is_list and bool(_LIST.match(p.shape.head))
     ended = p.last and p.last not in t.COMMAS and not is_cjk(p.last) and not p.in_dialog and not p.in_bracket
     quotes = p.quotes.copy()
-    if p.text and (follows_item or ended):
+    if p.parts and (follows_item or ended):
         p.end()
         p.quotes = quotes
     if line.opens_dialog:
@@ -339,11 +405,11 @@ def _start(p: Paragraphs, line: Line) -> None:
 
 
 def _close_dialog(p: Paragraphs, line: Line) -> None:
-    rest = line.body[:-1].rstrip(t.SPACES) or p.text.rstrip(t.SPACES)
-    strong = bool(rest) and rest[-1] in t.CLAUSE_ENDS
+    mark = line.body[:-1].rstrip(t.SPACES)[-1:] or p.last
+    strong = bool(mark) and mark in t.CLAUSE_ENDS
     bracket = p.in_bracket
     p.add(line)
-    if not p.in_dialog and strong and (not bracket or line.open_bracket or units(p.text) > LONG_BUFFER):
+    if not p.in_dialog and strong and (not bracket or line.open_bracket or p.shape.units > LONG_BUFFER):
         p.end()
 
 
@@ -363,13 +429,13 @@ def take(p: Paragraphs, line: Line, header: bool) -> None:
         _start(p, line)
         return
     plain_end = not p.in_dialog and not line.closes_dialog and not line.open_quote and line.complete
-    if p.text:
-        if plain_end and (units(p.text) > LONG_BUFFER or not p.in_bracket):
+    if p.parts:
+        if plain_end and (p.shape.units > LONG_BUFFER or not p.in_bracket):
             p.add(line)
             p.end()
         elif line.closes_dialog:
             _close_dialog(p, line)
-        elif not p.in_dialog and (ends_like_sentence(p.text) and not p.in_bracket or is_bracket_paragraph(p.text) or _INDENT.match(line.raw)):
+        elif not p.in_dialog and (p.shape.ends_like_sentence() and not p.in_bracket or p.shape.in_one_bracket or _INDENT.match(line.raw)):
             p.restart(line)
         else:
             p.add(line)
@@ -418,15 +484,15 @@ def reflow_rows(df: DataFrame, col: str, header: bool = False) -> DataFrame:
 def metadata_key(col: Column) -> Column:
     """The key of a metadata line, null for other lines."""
     sep, quotes = re.escape(t.METADATA_SEPARATORS), "".join(t.DIALOG)
-    space = "\\t\\n\\x0B\\f\\r \\x{85}\\x{A0}\\x{3000}"
+    space = char_class(t.SPACES)
     m = lambda g: F.regexp_extract(col, f"(?s)^[{space}]*([^{sep}]+)[{sep}][{space}]*([^{space}])", g)
     key = F.regexp_replace(m(1), f"[{space}]+$", "")
-    ok = (F.char_length(col) <= 30) & key.isin(*sorted(t.METADATA_KEYS)) & (F.instr(F.lit(quotes), m(2)) == 0)
+    ok = (F.octet_length(F.encode(col, "UTF-16LE")) <= 2 * 30) & key.isin(*sorted(t.METADATA_KEYS)) & (F.instr(F.lit(quotes), m(2)) == 0)
     return F.when(ok, key)
 
 
 def is_divider_line(col: Column) -> Column:
-    body = F.regexp_replace(col, "[\\s\\x{3000}]", "")
+    body = F.regexp_replace(col, f"[{char_class(t.SPACES)}]", "")
     return body.rlike("^(?:[\\x{2500}-\\x{257F}]{3,}|[-=_~～]{3,}|[*＊★☆]{3,})$")
 
 

@@ -28,8 +28,7 @@ def reflow_stream(lines: DataFrame, header: bool = False, idle: str = "10 minute
     def run(key: tuple, parts: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
         p = Paragraphs()
         if kept.exists:
-            p.text, quotes = kept.get
-            p.quotes.update(quotes)
+            p.resume(*kept.get)
         if kept.hasTimedOut:
             p.end()
             kept.remove()
