@@ -10,10 +10,10 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, replace
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 from ..plans.configs import DEFAULT, Config, parse_config, supported_configs
 from ..plans.slots import CustomSpec
@@ -80,12 +80,17 @@ def apply_rounds(col: Column, rounds: list[dict[str, str]], preserve_ids: bool =
         return col
     frozen = tuple(tuple(r.items()) for r in rounds)
 
-    @pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        convert = pipeline_for(frozen, preserve_ids)
-        return s.map(convert, na_action="ignore")
+    return _together(frozen, preserve_ids)(col)
 
-    return run(col)
+
+def _together(rounds: tuple, preserve_ids: bool):
+    """Rounds as an Arrow function over whole batches."""
+
+    @arrow_udf("string")
+    def run(a: pa.Array) -> pa.Array:
+        return pa.array(pipeline_for(rounds, preserve_ids).all(a.to_pylist()), pa.string())
+
+    return run
 
 
 def convert(col: Column | str, config: str = DEFAULT, punctuation: bool = False, preserve_ids: bool = False, dicts: Dictionaries | None = None, native: bool = False, null_as_empty: bool = False) -> Column:
@@ -146,10 +151,7 @@ def register(spark: SparkSession, dicts: Dictionaries | None = None) -> list[str
         for punctuation in (False, True):
             rounds = tuple(tuple(r.items()) for r in rounds_of(config, punctuation, dicts) if r)
 
-            def run(s: pd.Series, rounds=rounds) -> pd.Series:
-                return s.map(pipeline_for(rounds, False), na_action="ignore")
-
             name = f"loom_{config}" + "_punct" * punctuation
-            spark.udf.register(name, pandas_udf(lambda s, f=run: f(s), "string", functionType=200))
+            spark.udf.register(name, _together(rounds, False))
             names.append(name)
     return names

@@ -6,6 +6,8 @@ import re
 from collections.abc import Mapping, Sequence
 from functools import lru_cache
 
+import numpy as np
+
 from ..functions.tables import DELIMITERS, IDS_ARITY
 
 #: Longer keys never match (length masks have 64 bits).
@@ -15,9 +17,26 @@ LINEAR_UNITS = 8000
 MOST_IDS_DEPTH = 16
 
 _IDS = re.compile("[⿰-⿿]")
-_D = "[" + re.escape(DELIMITERS) + "]"
-SEGMENT_INCLUSIVE = f"(?s)[^{re.escape(DELIMITERS)}]*{_D}|[^{re.escape(DELIMITERS)}]+"
-SEGMENT_EXCLUSIVE = f"(?s)[^{re.escape(DELIMITERS)}]+|{_D}"
+
+
+def char_class(chars: str) -> str:
+    """The inside of a character class, neighbours as ranges: engines test a class range by range."""
+    out, codes = [], sorted(set(map(ord, chars)))
+    while codes:
+        n = next((i for i in range(1, len(codes)) if codes[i] != codes[0] + i), len(codes))
+        a, b = re.escape(chr(codes[0])), re.escape(chr(codes[n - 1]))
+        out.append(a if n == 1 else a + b if n == 2 else f"{a}-{b}")
+        codes = codes[n:]
+    return "".join(out)
+
+
+_D = char_class(DELIMITERS)
+SEGMENT_INCLUSIVE = f"(?s)[^{_D}]+[{_D}]?|[{_D}]"
+SEGMENT_EXCLUSIVE = f"(?s)[^{_D}]+|[{_D}]"
+#: Stands between texts that are converted together; a noncharacter, so no key or text should hold it.
+BETWEEN = "\U0010ffff"
+#: Characters that are converted together.
+TOGETHER = 1 << 20
 
 
 def units(text: str) -> int:
@@ -90,52 +109,78 @@ def ids_split(text: str) -> list[tuple[bool, str]]:
 
 
 class Round:
-    """A compiled dictionary."""
+    """A compiled dictionary: single characters by a table, longer keys by their first two characters."""
 
     def __init__(self, table: Mapping[str, str]):
         self.table = dict(table)
         self.scalar = is_scalar(self.table)
         self.sensitive = is_split_sensitive(self.table)
-        if self.scalar:
-            # finding the few characters that change is faster than str.translate outside Latin-1
-            self.scan = re.compile("[" + "".join(map(re.escape, self.table)) + "]").sub if self.table else None
-            return
+        singles = {k: v for k, v in self.table.items() if len(k) == 1}
+        self.even = all(len(v) == 1 for v in singles.values())  # lengths stay, so a table of code points does it
+        self.scan = re.compile("[" + "".join(map(re.escape, singles)) + "]").sub if singles else None
+        top = max([0xFFFF, *(ord(k) for k in singles), *(ord(c) for k in self.table for c in k[:2])]) + 1
+        if self.even:
+            self.codes = np.arange(top + 1, dtype="<u4")
+            for k, v in singles.items():
+                self.codes[ord(k)] = ord(v)
         starts: dict[str, set[int]] = {}
         for k in self.table:
-            starts.setdefault(k[0], set()).add(len(k))
+            if len(k) > 1:
+                starts.setdefault(k[:2], set()).add(len(k))
         self.lengths = {c: tuple(sorted(n, reverse=True)) for c, n in starts.items()}
-        self.next = re.compile("[" + "".join(map(re.escape, self.lengths)) + "]").search
-        self.segments = re.compile(SEGMENT_INCLUSIVE).findall
+        self.first = np.zeros(top + 1, bool)  # the last place stands for all characters beyond
+        self.first[[ord(c[0]) for c in starts]] = True
+        self.pairs = np.array(sorted(ord(c[0]) << 21 | ord(c[1]) for c in starts), np.uint64)
 
     def apply(self, text: str) -> str:
         if self.scalar and not self.sensitive:
-            return self._match(text)
+            return self.match(text)
         if self.sensitive and len(text) * 2 >= LINEAR_UNITS and units(text) >= LINEAR_UNITS:
-            return "".join(s if s in DELIMITERS else self._match(s) for s in re.findall(SEGMENT_INCLUSIVE, text))
-        return text if len(text) == 1 and text in DELIMITERS else self._match(text)
-
-    def _match(self, text: str) -> str:
-        if self.scalar:
-            table = self.table
-            return self.scan(lambda m: table[m[0]], text) if self.scan else text
-        lengths, get, find = self.lengths, self.table.get, self.next
-        out, i, n = [], 0, len(text)
-        while (m := find(text, i)) is not None:
-            j = m.start()
-            if j > i:
-                out.append(text[i:j])
-            for size in lengths[text[j]]:
-                if (v := get(text[j : j + size])) is not None and j + size <= n:
-                    out.append(v)
-                    i = j + size
-                    break
-            else:
-                out.append(text[j])
-                i = j + 1
-        if not out:
-            return text
-        out.append(text[i:])
-        return "".join(out)
+            return "".join(s if s in DELIMITERS else self.match(s) for s in re.findall(SEGMENT_INCLUSIVE, text))
+        return text if len(text) == 1 and text in DELIMITERS else self.match(text)
+
+    def _phrases(self, text: str, codes: np.ndarray, low: np.ndarray) -> list[tuple[int, int, str]]:
+        """(start, end, value) of longer keys from left to right, the longest at each place."""
+        at = np.flatnonzero(self.first[low[:-1]])
+        if not len(at):
+            return []
+        pair = codes[at].astype(np.uint64) << np.uint64(21) | codes[at + 1]
+        where = np.searchsorted(self.pairs, pair)
+        where[where == len(self.pairs)] = 0
+        get, lengths = self.table.get, self.lengths
+        out, end = [], 0
+        for i in at[self.pairs[where] == pair].tolist():
+            if i >= end:
+                for size in lengths[text[i : i + 2]]:
+                    if (v := get(key := text[i : i + size])) is not None and len(key) == size:
+                        end = i + size
+                        out.append((i, end, v))
+                        break
+        return out
+
+    def match(self, text: str) -> str:
+        if len(text) < 64 and self.scalar:
+            return self._singles(text)
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        low = np.minimum(codes, len(self.first) - 1)
+        found = self._phrases(text, codes, low) if len(self.pairs) and len(codes) > 1 else []
+        if self.scan and self.even:
+            new = self.codes[low]
+            beyond = low == len(self.first) - 1
+            if beyond.any():
+                new[beyond] = codes[beyond]
+            text = new.tobytes().decode("utf-32-le", "surrogatepass")
+        if not found:
+            return text if self.even else self._singles(text)
+        out, last = [], 0
+        for a, b, v in found:
+            out += (text[last:a] if self.even else self._singles(text[last:a]), v)
+            last = b
+        return "".join([*out, text[last:] if self.even else self._singles(text[last:])])
+
+    def _singles(self, text: str) -> str:
+        table = self.table
+        return self.scan(lambda m: table[m[0]], text) if self.scan else text
 
 
 class Pipeline:
@@ -159,6 +204,33 @@ class Pipeline:
                 text = r.apply(text)
         return text
 
+    def all(self, texts: Sequence[str | None]) -> list[str | None]:
+        """Every text converted. Where no rule looks at a text's length, many go through a round together."""
+        if self.preserve_ids or any(r.sensitive for r in self.rounds):
+            return list(map(self, texts))
+        out: list[str | None] = []
+        for part in _parts(texts, TOGETHER):
+            joined = BETWEEN.join([x or "" for x in part])
+            if joined.count(BETWEEN) != len(part) - 1:
+                out += map(self, part)
+                continue
+            for r in self.rounds:
+                joined = r.match(joined)
+            out += [x if x is None else y for x, y in zip(part, joined.split(BETWEEN))]
+        return out
+
+
+def _parts(texts: Sequence[str | None], most: int):
+    """Runs of texts that hold about so many characters together."""
+    at = size = 0
+    for i, x in enumerate(texts):
+        size += len(x or "")
+        if size >= most:
+            yield texts[at : i + 1]
+            at, size = i + 1, 0
+    if at < len(texts):
+        yield texts[at:]
+
 
 @lru_cache(maxsize=64)
 def pipeline_for(rounds: tuple[tuple[tuple[str, str], ...], ...], preserve_ids: bool) -> Pipeline:

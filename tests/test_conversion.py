@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import os
 import random
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -196,3 +197,30 @@ def test_units():
 
 def test_pipeline_rounds_chain():
     assert Pipeline([{"a": "b"}, {"b": "c"}])("ab") == "cc"
+
+
+def test_texts_together():
+    """Texts that go through the rounds together come out as each alone; one holds what stands between them."""
+    r = random.Random(9)
+    alphabet = "abcd漢字國學𠀾𬴂，。 "
+    for _ in range(300):
+        table = {"".join(r.choice(alphabet[:10]) for _ in range(r.choice([1, 1, 2, 3, 4]))): "".join(r.choice(alphabet) for _ in range(r.choice([0, 1, 1, 1, 2]))) for _ in range(6)}
+        plan = Pipeline([merged([table]), merged([{v: k for k, v in table.items() if v}])])
+        texts = ["".join(r.choice(alphabet) for _ in range(r.choice([0, 3, 70, 200]))) for _ in range(6)] + [None, "", matcher.BETWEEN * r.randint(0, 1)]
+
+        def plain(text):
+            for table in (x.table for x in plan.rounds):
+                out, i = [], 0
+                while i < len(text):
+                    size = next((n for n in range(4, 0, -1) if text[i : i + n] in table and i + n <= len(text)), 0)
+                    out.append(table[text[i : i + size]] if size else text[i])
+                    i += size or 1
+                text = "".join(out)
+            return text
+
+        assert plan.all(texts) == [x if x is None else plain(x) for x in texts] == [plan(x) for x in texts]
+
+
+def test_char_class():
+    for chars in ("abcx-z]^[", DELIMITERS, "a", "漢-字"):
+        assert set(re.findall(f"[{matcher.char_class(chars)}]", "".join(map(chr, range(0x10000))) + "𠀾")) == set(chars)
