@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 
+from ..functions.tables import DELIMITERS
 from .matcher import SEGMENT_EXCLUSIVE, SEGMENT_INCLUSIVE, ids_end, ids_split
 
 
@@ -21,13 +24,29 @@ def segments(df: DataFrame, col: str, inclusive: bool = True) -> DataFrame:
     return df.select(*[c for c in df.columns if c != col], F.posexplode(split_segments(F.col(col), inclusive)).alias("pos", "segment"))
 
 
+_IS_DELIMITER = np.isin(np.arange(1 << 16), [ord(c) for c in DELIMITERS])
+
+
+def ranges_of(text: str, inclusive: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of a text's segments in UTF-16 units."""
+    units = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), "<u2")
+    after = np.flatnonzero(_IS_DELIMITER[units]) + 1
+    cuts = [after, [0, len(units)]] if inclusive else [after, after - 1, [0, len(units)]]
+    edges = np.unique(np.concatenate(cuts)).astype(np.int32)
+    return edges[:-1], np.diff(edges)
+
+
 def segment_ranges(col: Column, inclusive: bool = True) -> Column:
-    """array<struct<start,length>> in UTF-16 units, the lengths summed up in order."""
-    size = lambda s: (F.octet_length(F.encode(s, "UTF-16LE")) / 2).cast("int")
-    pair = lambda a, b: F.struct(a.alias("start"), b.alias("length"))
-    empty = F.array().cast("array<struct<start:int,length:int>>")
-    at = lambda acc: F.when(F.size(acc) == 0, F.lit(0)).otherwise(F.try_element_at(acc, F.lit(-1))["start"] + F.try_element_at(acc, F.lit(-1))["length"])
-    return F.aggregate(split_segments(col, inclusive), empty, lambda acc, s: F.array_append(acc, pair(at(acc), size(s))))
+    """array<struct<start,length>> in UTF-16 units; null stays null."""
+
+    @arrow_udf("array<struct<start:int,length:int>>")
+    def run(a: pa.Array) -> pa.Array:
+        found = [ranges_of(x or "", inclusive) for x in a.to_pylist()]
+        ends = np.cumsum([0, *(len(x[0]) for x in found)], dtype=np.int32)
+        pairs = [pa.array(np.concatenate([x[i] for x in found]) if found else [], pa.int32()) for i in (0, 1)]
+        return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(pairs, ["start", "length"]), mask=a.is_null())
+
+    return run(col)
 
 
 _PARTS = T.ArrayType(T.StructType([T.StructField("ids", T.BooleanType()), T.StructField("text", T.StringType())]))
