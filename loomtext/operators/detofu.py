@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 from dataclasses import dataclass
 from enum import IntEnum
@@ -30,9 +31,8 @@ class Level(IntEnum):
         key = (name or "").strip().lower()
         if key == "all":
             return cls.B
-        key = key.removeprefix("ext").removeprefix("-")
-        if len(key) == 1 and key.upper() in cls.__members__:
-            return cls[key.upper()]
+        if (m := re.fullmatch("(?:ext-?)?([b-i])", key)) is not None:
+            return cls[m[1].upper()]
         raise ValueError(f"unknown level: {name!r}")
 
 
@@ -106,14 +106,3 @@ def detofu(col: Column, level: Level | str = Level.B, pairs: Mapping[str, str] |
 
 def entries_df(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(a, b, int(x), i) for i, (a, b, x) in enumerate(builtin_entries())], "tofu string, fallback string, level int, ord long")
-
-
-def simplified_seed(entries, source: Mapping[str, str]) -> tuple[dict[str, str], dict[str, str]]:
-    """Partial (st, ts) character tables from a fallback table whose fourth column says where an entry comes from."""
-    st, ts = {}, {}
-    for rare, fallback, _ in entries:
-        if source.get(rare) == "TS":
-            ts[fallback] = rare
-        elif source.get(rare) == "ST":
-            st[fallback] = rare
-    return st, ts

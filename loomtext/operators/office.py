@@ -20,6 +20,8 @@ from .matcher import pipeline_for
 
 FORMATS = ("docx", "xlsx", "pptx", "odt", "ods", "odp", "epub")
 
+# ---- fixed values: entries and attributes of the formats -------------------------------------------
+
 #: Which entries hold text, by format, on lower-cased names with forward slashes.
 ENTRIES = {
     "docx": r"^word/document\.xml$",
@@ -41,6 +43,9 @@ FONTS = {
     "odp": r"(?:style:font-name(?:-asian|-complex)?|svg:font-family|style:name)=(?:\"[^\"]*\"|'[^']*')",
     "epub": r"font-family\s*:\s*[^;\"']+",
 }
+
+# ---- packages
+
 _INLINE = re.compile(r"""(<(?:\w+:)?c\b[^>]*\bt\s*=\s*["']inlineStr["'][^>]*>)(.*?)(</(?:\w+:)?c>)""", re.S)
 _INLINE_TEXT = re.compile(r"(<(?:\w+:)?t\b[^>]*>)(.*?)(</(?:\w+:)?t>)", re.S)
 
@@ -153,18 +158,29 @@ def convert_packages(packages: DataFrame, config: str, punctuation: bool = False
     return packages.withColumn("r", run("content", "format")).select("path", "format", "r.success", "r.message", "r.content")
 
 
-def write_packages(converted: DataFrame, folder: str) -> None:
-    """Each successful package under its own name: a sibling temporary file, checked, then moved into place.
+def write_packages(converted: DataFrame, folder: str, root: str | None = None) -> None:
+    """Each successful package under its path below `root`, or under its base name: a sibling temporary file,
+    checked, then moved into place. Two packages for one name are an error, before anything is written.
 
     The folder is one that all executors share.
     """
+    name = F.regexp_extract("path", "[^/]+$", 0)
+    if root is not None:
+        below = root.rstrip("/") + "/"
+        name = F.when(F.col("path").startswith(below), F.expr(f"substring(path, {len(below) + 1})"))
+    rows = converted.withColumn("target", name)
+    wrong = rows.groupBy("target").agg(F.count("*").alias("n"), F.min("path").alias("path")).where("n > 1 OR target IS NULL OR target = '' OR concat('/', target, '/') LIKE '%/../%'").first()
+    if wrong is not None:
+        raise OfficeError(f"{wrong['n']} packages for the name {wrong['target']!r}, such as {wrong['path']!r}")
 
     def run(rows):
         for r in rows:
-            save(r.content, os.path.join(folder, os.path.basename(r.path)))
+            path = os.path.join(folder, r.target)
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            save(r.content, path)
 
     os.makedirs(folder, exist_ok=True)
-    converted.where("success").foreachPartition(run)
+    rows.where("success").select("target", "content").foreachPartition(run)
 
 
 def save(raw: bytes, path: str) -> None:

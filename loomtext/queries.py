@@ -7,10 +7,11 @@ import zipfile
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 
 from .functions import tables
 from .operators import convert as C
@@ -268,11 +269,22 @@ def _forms(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("decode_json_surrogates")
+#: Escapes that are no pair, in whole texts after their pairs.
+_LONE = "\\uD842x\\u4e00\\uDC00\\uD842\\u0041\\ud8"
+
+
+@query("decode_json_surrogates", lambda: f"SELECT doc_id, src || {oracle.text(_LONE)} AS out FROM ({corpus.letter_sql('conversations')})")
 def _surrogates(spark, sf_dir):
-    decode = F.udf(decode_surrogate_pairs, "string")
-    docs = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    return docs.select(F.lit("\\uD842\\uDFB7x\\u4e00").alias("src"), decode(F.lit("\\uD842\\uDFB7x\\u4e00")).alias("out"))
+    @arrow_udf("string")
+    def decode(a: pa.Array) -> pa.Array:
+        return pa.array([x if x is None else decode_surrogate_pairs(x) for x in a.to_pylist()], pa.string())
+
+    src = F.col("src")
+    for c in filter(lambda c: c > "\uffff", corpus.LETTERS):
+        high, low = divmod(ord(c) - 0x10000, 0x400)
+        src = F.replace(src, F.lit(c), F.lit(f"\\u{0xD800 + high:04X}\\u{0xDC00 + low:04x}"))
+    docs = corpus.letter_corpus(spark, sf_dir, "conversations")
+    return docs.select("doc_id", decode(F.concat(src, F.lit(_LONE))).alias("out"))
 
 
 # ---- segments
@@ -312,7 +324,7 @@ def _pick_sql(values, key: str, step: int) -> str:
 def _metadata_sql() -> str:
     key, sep, value = (_pick_sql(v, "o_orderkey", s) for v, s in ((_LINE_KEYS, 3), (_LINE_SEPS, 7), (_LINE_VALUES, 11)))
     known = ", ".join(oracle.text(k) for k in sorted(tables.METADATA_KEYS))
-    return f"""SELECT o_orderkey, line, CASE WHEN length(line) <= 30 AND sep <> '-' AND trim(value) <> '' AND NOT starts_with(trim(value), '“') AND key IN ({known}) THEN key END AS meta_key
+    return f"""SELECT o_orderkey, line, CASE WHEN {oracle.units_sql('line')} <= 30 AND sep <> '-' AND trim(value) <> '' AND NOT starts_with(trim(value), '“') AND key IN ({known}) THEN key END AS meta_key
     FROM (SELECT o_orderkey, {key} AS key, {sep} AS sep, {value} AS value, {key} || {sep} || {value} AS line FROM orders)"""
 
 

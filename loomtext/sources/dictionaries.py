@@ -1,7 +1,7 @@
 """Dictionaries: text files, JSON, compressed JSON, CBOR and Parquet; immutable sets of slots.
 
 Small tables come with the package. Larger ones are read from a directory of tab-separated text files, given as a
-parameter or by LOOMTEXT_DICTS; a file belongs to the slot that its name spells (case, underscores and `Shinjitai`
+parameter, by the session's spark.loomtext.dicts or by LOOMTEXT_DICTS, or are given to provide(); a file belongs to the slot that its name spells (case, underscores and `Shinjitai`
 aside). Slots that neither has are empty, apart from a small seed of Simplified characters.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..functions import tables
 from ..plans.slots import CustomSpec, Mode, Slot
 
-ENV = "LOOMTEXT_DICTS"
+ENV, SETTING = "LOOMTEXT_DICTS", "spark.loomtext.dicts"
 
 
 def parse_dictionary(text: str) -> dict[str, str]:
@@ -271,10 +271,21 @@ def builtin() -> dict[str, dict[str, str]]:
 
 
 def directory(path: str | None = None) -> Path | None:
-    path = path or os.environ.get(ENV)
+    session = SparkSession.getActiveSession()
+    path = path or (session and session.conf.get(SETTING, None)) or os.environ.get(ENV)
     return Path(path) if path else None
 
 
+_provided: Dictionaries | None = None
+
+
+def provide(dicts: Dictionaries | None) -> None:
+    """What load() gives from now on where no path is named; None goes back to the tables and the directory. Plans
+    take their dictionaries when they are made, so those made before stay as they are."""
+    global _provided
+    _provided = dicts
+
+
 @lru_cache(maxsize=8)
 def _load(path: str | None) -> Dictionaries:
     slots = builtin()
@@ -287,6 +298,8 @@ def _load(path: str | None) -> Dictionaries:
 
 def load(path: str | None = None) -> Dictionaries:
     """Built-in tables, replaced slot by slot by what the directory has."""
+    if path is None and _provided is not None:
+        return _provided
     found = directory(path)
     return _load(str(found) if found else None)
 

@@ -33,9 +33,14 @@ def decode(col: Column, encoding: str = "utf-8") -> Column:
 
 
 def encode(col: Column, encoding: str = "utf-8") -> Column:
-    """Text as bytes, with a byte-order mark for UTF-16 and UTF-32."""
+    """Text as bytes, with a byte-order mark for UTF-16 and UTF-32. UTF-8 and UTF-16 stay in SQL functions."""
     name = codec(encoding)
-    mark = {"utf-16-le": codecs.BOM_UTF16_LE, "utf-16-be": codecs.BOM_UTF16_BE, "utf-32-le": codecs.BOM_UTF32_LE, "utf-32-be": codecs.BOM_UTF32_BE}.get(name, b"")
+    if name == "utf-8":
+        return F.encode(col, "UTF-8")
+    if name in ("utf-16-le", "utf-16-be"):
+        big = name.endswith("be")
+        return F.concat(F.lit(codecs.BOM_UTF16_BE if big else codecs.BOM_UTF16_LE), F.encode(col, "UTF-16BE" if big else "UTF-16LE"))
+    mark = {"utf-32-le": codecs.BOM_UTF32_LE, "utf-32-be": codecs.BOM_UTF32_BE}.get(name, b"")
 
     @pandas_udf("binary")
     def run(s):

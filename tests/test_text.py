@@ -1,15 +1,19 @@
 from __future__ import annotations
 
 import io
+import random
+import time
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from loomtext.functions import tables
 from loomtext.operators import detect, detofu, dictbuild, normalize, office, reflow, segment
 from loomtext.operators.detofu import DeTofu, Level
 from loomtext.operators.pipeline import page_pipeline
 from loomtext.plans.slots import CustomSpec, Mode, Slot
+from loomtext.sources import dictionaries
 from loomtext.sources import text as text_source
 from loomtext.sources.dictionaries import Dictionaries, cbor_dumps, cbor_loads, decode_surrogate_pairs, load, parse_dictionary, scan
 
@@ -41,6 +45,20 @@ def test_directory(tmp_path):
         load(str(tmp_path)).require("jps_characters_rev")
 
 
+def test_provided_dictionaries(spark, tmp_path):
+    (tmp_path / "TWPhrases.txt").write_text("甲乙\t丙丁\n", encoding="utf-8")
+    spark.conf.set(dictionaries.SETTING, str(tmp_path))
+    try:
+        assert dict(load()["tw_phrases"]) == {"甲乙": "丙丁"}
+        dictionaries.provide(Dictionaries({"tw_phrases": {"戊": "己"}}))
+        assert dict(load()["tw_phrases"]) == {"戊": "己"} and not load()["tw_variants"]
+        assert dict(load(str(tmp_path))["tw_phrases"]) == {"甲乙": "丙丁"}
+    finally:
+        dictionaries.provide(None)
+        spark.conf.unset(dictionaries.SETTING)
+    assert not load()["tw_phrases"] or dictionaries.directory()
+
+
 @pytest.mark.parametrize("name", ["d.json", "d.zstd", "d.cbor"])
 def test_forms(tmp_path, name):
     load().save(tmp_path / name)
@@ -127,7 +145,7 @@ def test_detofu(spark):
 
 def test_levels():
     assert Level.parse(" ALL ") is Level.B and Level.parse("ext-c") is Level.C and Level.parse("extd") is Level.D and Level.parse("i") is Level.I
-    for bad in (None, "", "ext-z", "ext-a", "j"):
+    for bad in ("-b", "ext--b", None, "", "ext-z", "ext-a", "j"):
         with pytest.raises(ValueError):
             Level.parse(bad)
     assert detofu.extension_of("𠀾") is Level.B and detofu.extension_of("a") is None
@@ -277,6 +295,19 @@ def test_package_files(spark, tmp_path):
     assert entry((out / "b.docx").read_bytes(), "word/document.xml") == "说" and len(list(out.iterdir())) == 1
 
 
+def test_packages_of_one_name(spark, tmp_path):
+    for folder, text in (("x", "說"), ("y/z", "語")):
+        (tmp_path / "in" / folder).mkdir(parents=True)
+        (tmp_path / "in" / folder / "b.docx").write_bytes(package(**{"word/document.xml": text}))
+    done = office.convert_packages(office.read_packages(spark, f"{tmp_path}/in/*").union(office.read_packages(spark, f"{tmp_path}/in/y/*")), "t2s")
+    with pytest.raises(office.OfficeError, match="2 packages"):
+        office.write_packages(done, str(tmp_path / "out"))
+    root = done.first().path.split("/in/")[0] + "/in"
+    office.write_packages(done, str(tmp_path / "out"), root)
+    found = {str(p.relative_to(tmp_path / "out")): entry(p.read_bytes(), "word/document.xml") for p in (tmp_path / "out").rglob("*.docx")}
+    assert found == {"x/b.docx": "说", "y/z/b.docx": "语"}
+
+
 def test_save_keeps_the_old_file(tmp_path):
     p = tmp_path / "a.docx"
     p.write_bytes(b"old")
@@ -285,6 +316,50 @@ def test_save_keeps_the_old_file(tmp_path):
     assert p.read_bytes() == b"old" and len(list(tmp_path.iterdir())) == 1
 
 
+# ---- running state of a paragraph
+
+
+def test_shape_is_kept_up():
+    """What is known of a text that was added in parts is what is known of the whole, and what plain rules say."""
+    r = random.Random(6)
+    alphabet = "漢字一二abcXY12 　\t（）()「」『』“”。！？…：；;:,，.、=*《》〈〉【】"
+    for _ in range(4000):
+        text = "".join(r.choice(alphabet) for _ in range(r.randint(0, 40)))
+        if r.random() < 0.1:
+            text = text[:9] + " " * 30 + text[9:] + "　" * 20
+        cuts = sorted(r.sample(range(len(text) + 1), min(3, len(text))))
+        shape = reflow.Shape()
+        for a, b in zip([0, *cuts], [*cuts, len(text)]):
+            shape.add(text[a:b])
+        whole = reflow.Shape(text)
+        ask = lambda s: (s.units, s.mostly_cjk, s.open_bracket, s.last, s.in_one_bracket, s.head, *(s.ends_like_sentence(n) for n in (1, 2, 3)))
+        assert ask(shape) == ask(whole)
+        body = text.strip(tables.SPACES)
+        assert shape.last == body[-1:] and shape.open_bracket == reflow.unclosed_bracket(text)
+        steps = [1 if c.isascii() else -1 for c in text if reflow.is_cjk(c) or c.isascii() and c.isalpha()]
+        assert shape.mostly_cjk == (-1 in steps and sum(steps) <= 0 and all(sum(steps[:i]) <= 4 for i in range(len(steps))))
+
+
+def test_reflow_of_an_endless_bracket_is_linear():
+    text = "（" + "\n".join(["這是一行沒有結束的文字，繼續下去"] * 6000)
+    seconds = time.perf_counter()
+    assert reflow.paragraphs(text) == [text.replace("\n", "")]
+    assert time.perf_counter() - seconds < 20
+
+
+@pytest.mark.parametrize("inclusive", [True, False])
+def test_segment_ranges(spark, inclusive):
+    texts = ["", None, "甲，乙", "，，", "𠀾a，b", "no delimiter"[:2], "x\ny\r\nz "]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, s string")
+    got = {r.i: r for r in df.select("i", "s", segment.segment_ranges(F.col("s"), inclusive).alias("r"), segment.split_segments(F.col("s"), inclusive).alias("p")).collect()}
+    for i, s in enumerate(texts):
+        if s is None:
+            assert got[i].r is None
+            continue
+        raw = s.encode("utf-16-le")
+        assert [raw[2 * x.start : 2 * (x.start + x.length)].decode("utf-16-le") for x in got[i].r] == got[i].p and "".join(got[i].p) == s
+
+
 # ---- streams
 
 
