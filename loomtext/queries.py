@@ -110,7 +110,13 @@ def _ids_text():
 _BATCH_ROWS = 500
 
 
-@query("convert_ids")
+def _ids_sql() -> str:
+    rounds = C.rounds_of("t2s")
+    around = lambda x: oracle.rounds_sql(x, rounds)
+    return f"SELECT doc_id, '⿰氵漢' || {around("(src || '（')")} || '⿱艹⿰日月' || {around("'）漢⿰'")} AS out, CASE WHEN src IS NOT NULL THEN CAST(4 AS INT) END AS n_parts FROM ({corpus.letter_sql()})"
+
+
+@query("convert_ids", _ids_sql)
 def _ids(spark, sf_dir):
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= _BATCH_ROWS:
@@ -427,24 +433,49 @@ def _entries(spark, sf_dir):
     return rows.select("p_partkey", office.is_text_entry(_pick(_NAMES, "p_partkey", 5), _pick(list(office.FORMATS), "p_partkey", 3)).alias("selected"))
 
 
+#: Entries of a package of each format, with the text at {}: what is to be converted, beside fonts and entries that are not.
+_ENTRIES = {
+    "docx": {"word/document.xml": '<w:document><w:rFonts w:ascii="麪體"/><w:t>{}</w:t></w:document>', "word/styles.xml": "<w:styles>麪</w:styles>"},
+    "xlsx": {"xl/sharedStrings.xml": '<rFont val="麪體"/><si><t>{}</t></si>', "xl/worksheets/sheet1.xml": '<c t="inlineStr"><is><t>{}</t></is></c><c><v>麪</v></c>'},
+    "pptx": {"ppt/slides/slide1.xml": '<a:latin typeface="麪體"/><a:t>{}</a:t>', "ppt/media/image1.png": "麪"},
+    "odt": {"content.xml": "<style:style style:name='麪體'/><text:p>{}</text:p>", "META-INF/manifest.xml": "麪"},
+    "ods": {"content.xml": '<style:style svg:font-family="麪體"/><text:p>{}</text:p>', "styles.xml": "麪"},
+    "odp": {"settings.xml": "麪", "content.xml": '<text:p style:font-name-asian="麪體">{}</text:p>'},
+    "epub": {"OEBPS/ch1.xhtml": '<p style="font-family: 麪體;">{}</p>', "mimetype": "application/epub+zip", "toc.ncx": "<text>{}</text>", "cover.css": "麪"},
+}
+
+
 @pandas_udf(T.BinaryType())
-def _docx(s: pd.Series) -> pd.Series:
-    def build(body: str) -> bytes:
+def _package(fmt: pd.Series, text: pd.Series) -> pd.Series:
+    def build(f: str, body: str) -> bytes:
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            z.writestr(zipfile.ZipInfo("word/document.xml"), f'<w:document><w:rFonts w:ascii="麪體"/><w:t>{body}</w:t></w:document>')
-            z.writestr(zipfile.ZipInfo("word/styles.xml"), "<w:styles>麪</w:styles>")
+            for name, entry in _ENTRIES[f].items():
+                z.writestr(zipfile.ZipInfo(name), entry.replace("{}", body))
         return out.getvalue()
 
-    return s.map(lambda x: build((x or "").replace("&", "").replace("<", "")))
+    return pd.Series([build(f, (x or "").replace("&", "").replace("<", "")) for f, x in zip(fmt, text)])
 
 
 def _packages(spark, sf_dir):
-    docs = corpus.letter_corpus(spark, sf_dir, "conversations")
-    return docs.select(F.concat_ws("-", "doc_id", F.sha2("src", 256)).alias("path"), F.lit("docx").alias("format"), _docx("src").alias("content"))
+    docs = corpus.letter_corpus(spark, sf_dir, "conversations").withColumn("format", _pick(list(office.FORMATS), "doc_id", 1))
+    return docs.select(F.concat_ws("-", "doc_id", F.sha2("src", 256)).alias("path"), "format", _package("format", "src").alias("content"))
+
+
+def _office_sql() -> str:
+    rows = []
+    for fmt, entries in _ENTRIES.items():
+        names = sorted(entries, key=lambda n: n != "mimetype")  # an EPUB's mimetype comes first
+        for i, name in enumerate(names):
+            before, hole, after = entries[name].partition("{}")
+            rows.append(f"({oracle.text(fmt)}, {i}, {oracle.text(name)}, {oracle.text(before)}, {bool(hole)}, {oracle.text(after)}, {name == 'mimetype'})")
+    body = oracle.rounds_sql("replace(replace(coalesce(src, ''), '&', ''), '<', '')", C.rounds_of("t2hk"))
+    return f"""SELECT concat_ws('-', doc_id, sha256(src)) AS path, CAST(idx AS INT) AS idx, name, before || CASE WHEN hole THEN body ELSE '' END || after AS text, stored
+    FROM (SELECT doc_id, src, {body} AS body, {_pick_sql(list(office.FORMATS), "doc_id", 1)} AS fmt FROM ({corpus.letter_sql("conversations")}))
+    JOIN (VALUES {", ".join(rows)}) AS e(fmt, idx, name, before, hole, after, stored) USING (fmt)"""
 
 
-@query("office_convert")
+@query("office_convert", _office_sql)
 def _office(spark, sf_dir):
     done = office.convert_packages(_packages(spark, sf_dir), "t2hk", keep_font=True)
     rows = office.explode_entries(done.where("success"))
