@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import inspect
 import uuid
 from collections.abc import Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +21,11 @@ LAST_ID = 2**63 - 1
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xD6E8FEB86659FD93)
 _C = np.uint64(0xC2B2AE3D27D4EB4F)
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # another C library
+    _libc = None
 _S32, _S29 = np.uint64(32), np.uint64(29)
 
 
@@ -85,10 +93,52 @@ def batches_by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int =
                 yield b.slice(i, j - i)
 
 
+def trim() -> None:
+    """Gives freed memory back to the system, so that a worker that has done its task stays small."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
+def released(run):
+    """run, followed by trim(): for functions of groups or of a task's batches."""
+    if inspect.isgeneratorfunction(run):
+
+        @wraps(run)
+        def batches(parts):
+            try:
+                yield from run(parts)
+            finally:
+                trim()
+
+        return batches
+
+    def group(*parts):
+        try:
+            return run(*parts)
+        finally:
+            trim()
+
+    # Spark looks at the number of arguments
+    by_count = {1: lambda a: group(a), 2: lambda a, b: group(a, b), 3: lambda a, b, c: group(a, b, c)}
+    return by_count[len(inspect.signature(run).parameters)]
+
+
+def row_of(df: DataFrame) -> F.Column:
+    """row: all columns of df as one struct, so that no name clashes with columns that are added."""
+    return F.struct(*map(quoted, df.columns)).alias("row")
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new path in the shared folder that the session names; sets a local one only where none is named."""
+    """A new path in the shared folder that the session names; a local session without one gets its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir names no shared folder")
         import tempfile
 
         base = tempfile.gettempdir() + "/loomtext-shared"
@@ -97,28 +147,35 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back: its lineage is cut and survives lost executors."""
+def goes_with_session(spark: SparkSession, path: str) -> None:
+    """Has a written path deleted when the session's JVM ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
+def settled(df: DataFrame, release: bool = False) -> DataFrame:
+    """df written to the shared folder and read back: its lineage is cut and survives lost executors. With release
+    the driver collects its garbage, so that Spark removes the shuffle files behind df now and not at some time."""
     path = scratch(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
+    goes_with_session(df.sparkSession, path)
+    if release:
+        df.sparkSession._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """df's size: the optimizer's estimate where it knows one (files), else the bytes of its texts."""
-    n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if n >= 1 << 50:  # unknown, or a product of joined sizes
-        n = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return n
+def text_bytes(df: DataFrame) -> int:
+    """Bytes of df's texts: what tasks will hold, however well the files are packed."""
+    return df.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
 
 
 #: Target size of a block of documents, and the most that it may grow to on large inputs.
-BLOCK_BYTES, MOST_BLOCK_BYTES = 2 << 20, 64 << 20
+BLOCK_BYTES, MOST_BLOCK_BYTES = 3 << 20, 16 << 20
 
 
 def block_count(df: DataFrame) -> int:
-    """About one block for 2 MB of stored input; blocks grow to 64 MB so that their number grows slower than the input."""
-    size = input_bytes(df)
+    """About one block for 3 MB of text; blocks grow to 16 MB so that their number grows slower than the input."""
+    size = text_bytes(df)
     target = min(MOST_BLOCK_BYTES, max(BLOCK_BYTES, size // 4000))
     return int(max(8, -(-size // target)))
 
@@ -129,14 +186,15 @@ def blocked(docs: DataFrame, n: int, *more: str) -> DataFrame:
 
 
 #: Rows of an Arrow batch: texts are long, and a batch lies in the JVM and in Python at the same time.
-BATCH_ROWS = 2000
+BATCH_ROWS, BATCH_BYTES = 2000, "8m"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's rows of an Arrow batch to BATCH_ROWS, where they are more."""
+    """Lowers the session's rows and bytes of an Arrow batch to BATCH_ROWS and BATCH_BYTES, where they are more."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
