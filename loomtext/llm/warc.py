@@ -6,8 +6,10 @@ payloads of at least `least` bytes refer to the one with the smallest page_id (a
 Reading. Files are split anywhere. Each piece from one magic line to the next is a candidate record, with the
 offset of its successor from its Content-Length. A payload may hold the magic itself, so candidates count only if
 the chain from the file's start reaches them: chains are first contracted inside a split, then pointers between
-splits are doubled until nothing new is reached, and each split walks from its entry. A record whose payload holds
-magic lines is put together from the pieces up to its successor.
+splits are doubled until nothing new is reached, and each split walks from its entry. The walk also gives every piece
+its owner, the last reached record before it: a record whose payload holds magic lines, whole records even, is put
+together from its pieces. What may lie in an earlier candidate is kept with the piece; archives are scanned again
+only for pieces that turn out to be owned without that (a payload over splits, or of over LONGEST bytes).
 
 Defined results. Null html is an empty payload. A null page_id is written without an id and read as null. Line
 breaks in a url become spaces; a null url is left out. Rows with one page_id and payload are separate records;
@@ -23,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._util import batches_by_bytes, scratch, settled, small_batches
+from ._util import batches_by_bytes, goes_with_session, released, scratch, settled, small_batches
 
 VERSION = "WARC/1.0"
 END = "\r\n\r\n"
 #: Repeated payloads of one broadcast (about 100 bytes each).
 MOST_BROADCAST = 200_000
+MAGIC = len(VERSION) + 1
 DELIMITER = f"\n{VERSION}\r"  # no proper prefix of it is a suffix, so it is found alike from any split
 
 
@@ -68,6 +71,9 @@ def write(pages: DataFrame, path: str, least: int = 100) -> None:
     records(pages, least).write.option("lineSep", END).text(path)
 
 
+#: Claimed lengths up to which what follows is kept, as it may be part of the claimant.
+LONGEST = 16 << 20
+
 _HEAD = re.compile(rb"(?im)^([A-Za-z-]+):[ \t]*(.*?)[ \t]*\r$")
 _PIECE = "file long, block long, rel long, size long, head int, length long, kind string, page long, refers long, digest string, payload long, whole boolean, content binary"
 
@@ -96,24 +102,28 @@ def _payload(block: bytes) -> tuple[int, bytes]:
 
 def pieces(spark: SparkSession, path: str) -> DataFrame:
     """Every piece between magic lines with its offset in its split; files are named by a hash of their path. Whole
-    records are digested at once; the content of others, and of pieces that are no record of their own, comes along."""
+    records are digested at once; the content of others, and of what an earlier candidate claims, comes along."""
+    return _scan(spark, path, lambda body, p, claimed: body if claimed or not p["whole"] else None, _PIECE)
+
+
+def _scan(spark: SparkSession, path: str, content, schema: str) -> DataFrame:
     rows = spark.read.option("lineSep", DELIMITER).text(path)
     rows = rows.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value"))
 
     def run(batches):
-        split, rel = None, 0
+        split, rel, claimed = None, 0, 0
         for b in batches_by_bytes(batches, "value", 4 << 20):
             out = []
             for file, block, body in zip(*(c.to_pylist() for c in b.columns)):
                 if (file, block) != split:
-                    split, rel = (file, block), 0
+                    split, rel, claimed = (file, block), 0, 0
                     if block == 0:
                         own = f"{VERSION}\r".encode()
                         if not body.startswith(own):
                             raise ValueError("an archive does not start with a record")
                         body, rel = body[len(own) :], len(own)
                 p = _parse(body)
-                row = {"file": file, "block": block, "rel": rel, "size": len(body) + len(DELIMITER), "payload": None, "content": None} | p
+                row = {"file": file, "block": block, "rel": rel, "size": len(body) + len(DELIMITER), "payload": None} | p
                 # a whole record is followed by CRLF CRLF, whose last \n begins the delimiter; at a file's end it is there
                 rest = body[p["head"] + p["length"] :] if p["length"] is not None else None
                 row["whole"] = rest in (b"\r\n\r", b"\r\n\r\n")
@@ -122,15 +132,16 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
                     row["payload"] = stated if p["kind"] == "revisit" else len(payload)
                     if p["kind"] != "revisit":
                         row["digest"] = hashlib.sha256(payload).hexdigest()
-                else:
-                    row["content"] = body
+                row["content"] = content(body, row, rel - MAGIC < claimed)
                 out.append(row)
+                if p["length"] is not None and p["length"] <= LONGEST:
+                    claimed = max(claimed, rel + p["head"] + p["length"] + len(END))
                 rel += row["size"]
             yield pa.RecordBatch.from_pylist(out, schema=_schema)
 
     types = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
-    _schema = pa.schema([(x.split()[0], types[x.split()[1]]) for x in _PIECE.split(", ")])
-    return rows.mapInArrow(run, _PIECE)
+    _schema = pa.schema([(x.split()[0], types[x.split()[1]]) for x in schema.split(", ")])
+    return rows.mapInArrow(released(run), schema)
 
 
 def _offsets(rows: list[tuple], *names: str) -> pa.Table:
@@ -138,8 +149,10 @@ def _offsets(rows: list[tuple], *names: str) -> pa.Table:
     return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(names, cols)})
 
 
-def chain(candidates: DataFrame) -> DataFrame:
-    """(file, at) of candidates (file, block, at, next) that the chain from offset 0 of their file reaches."""
+def chain(pieces: DataFrame) -> DataFrame:
+    """(file, block, at, reached, owner, owner_end) of pieces (file, block, at, next): whether the chain from offset 0
+    of the file reaches it, and the last reached piece of its split up to it, with where that one ends."""
+    candidates = pieces.where("next IS NOT NULL")
 
     def contract(key, table):
         leaves: dict[int, int] = {}
@@ -165,14 +178,20 @@ def chain(candidates: DataFrame) -> DataFrame:
 
     def walk(key, left, right):
         after = dict(zip(left["at"].to_pylist(), left["next"].to_pylist()))
-        out: list[tuple] = []
+        reached: set[int] = set()
+        last = -1
         for at in sorted(right["entry"].to_pylist()):
-            while at in after and (not out or at > out[-1][1]):
-                out.append((key[0].as_py(), at))
-                at = after[at]
-        return _offsets(out, "file", "at")
+            while after.get(at) is not None and at > last:
+                reached.add(at)
+                last, at = at, after[at]
+        file, block = (k.as_py() for k in key)
+        out, owner = [], None
+        for at in sorted(after):
+            owner = at if at in reached else owner
+            out.append((file, block, at, int(at in reached), owner, after.get(owner)))
+        return _offsets(out, "file", "block", "at", "reached", "owner", "owner_end")
 
-    return candidates.groupBy("file", "block").cogroup(entries.groupBy("file", "block")).applyInArrow(walk, "file long, at long")
+    return pieces.groupBy("file", "block").cogroup(entries.groupBy("file", "block")).applyInArrow(walk, "file long, block long, at long, reached long, owner long, owner_end long")
 
 
 _DONE = "page long, payload long, digest string, kind string, refers long"
@@ -195,15 +214,22 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     splits = found.groupBy("file", "block").agg(F.sum("size").alias("bytes"), F.min("rel").alias("lead"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row for each split of a file
     splits = settled(splits.select("file", "block", F.coalesce(F.sum(F.col("bytes") + F.col("lead")).over(before), F.lit(0)).alias("base")))
-    magic = len(VERSION) + 1
-    at = found.join(splits, ["file", "block"]).withColumn("at", F.col("base") + F.col("rel") - magic)
-    at = at.withColumn("next", F.col("at") + magic + F.col("head") + F.col("length") + len(END))
-    good = chain(at.where("length IS NOT NULL").select("file", "block", "at", "next"))
-    kept = settled(at.join(good.withColumn("ok", F.lit(True)), ["file", "at"], "left").withColumn("ok", F.coalesce("ok", F.lit(False))))
-    whole = kept.where("ok AND whole").select("page", "payload", "digest", "kind", "refers")
-    broken = kept.where("ok AND NOT whole").select("file", F.col("at").alias("start"), F.col("next").alias("end"))
-    parts = kept.where("NOT ok OR NOT whole").join(broken, "file").where("at >= start AND at < end").select("file", "start", "at", "content", "head", "length", "page", "kind", "digest", "refers")
-    out = whole.unionByName(parts.groupBy("file", "start").applyInArrow(_mend, _DONE))
+    at = found.join(splits, ["file", "block"]).withColumn("at", F.col("base") + F.col("rel") - MAGIC)
+    at = at.withColumn("next", F.col("at") + MAGIC + F.col("head") + F.col("length") + len(END))
+    owned = settled(chain(at.select("file", "block", "at", "next")))
+    # pieces before the first reached one of a split belong to the last one of an earlier split
+    tails = owned.groupBy("file", "block").agg(F.max(F.when(F.col("reached") == 1, F.struct("at", "owner_end"))).alias("tail"))
+    tails = tails.select("file", "block", F.max("tail").over(before).alias("tail"))
+    owned = owned.join(tails, ["file", "block"])
+    owned = owned.select("file", "at", (F.col("reached") == 1).alias("ok"), F.coalesce("owner", "tail.at").alias("owner"), F.coalesce("owner_end", "tail.owner_end").alias("end"))
+    kept = settled(at.join(owned, ["file", "at"]))
+    out = kept.where("ok AND whole").select("page", "payload", "digest", "kind", "refers")
+    parts = kept.where("NOT (ok AND whole) AND at < end").select("file", "block", "rel", "owner", "at", "content", "head", "length", "page", "kind", "digest", "refers")
+    lost = settled(parts.where("content IS NULL").select("file", "block", "rel"))
+    if not lost.isEmpty():
+        again = _scan(spark, path, lambda body, p, claimed: body, _PIECE).join(lost, ["file", "block", "rel"], "left_semi").select("file", "block", "rel", F.col("content").alias("more"))
+        parts = parts.join(again, ["file", "block", "rel"], "left").withColumn("content", F.coalesce("content", "more"))
+    out = out.unionByName(parts.drop("block", "rel", "more").groupBy("file", "owner").applyInArrow(released(_mend), _DONE))
     return out.select(F.col("page").alias("page_id"), F.col("payload").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), F.col("refers").alias("refers_to"))
 
 
@@ -211,6 +237,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     path = scratch(spark)
     write(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
+    goes_with_session(spark, path)
     return read(spark, path)
 
 
