@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ._util import settled
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """links (u, v) to (node, root): root is the smallest node of the component; only nodes with links appear.
 
     Every step groups by node for a minimum (partial sums first) and joins it back, so a hub's links may lie in
@@ -20,7 +20,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
     e = settled(links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = state(e)
-    for _ in range(rounds):
+    while True:  # every round but the last brings a node nearer to its root
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
@@ -31,4 +31,3 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if now == seen:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = now
-    raise RuntimeError("components did not settle")

@@ -1,17 +1,19 @@
 """Near-duplicate documents: an LSH forest over MinHash signatures, confirmed on full shingle sets.
 
-A signature of 128 values gives 32 sorted orders: its rotations by 4 values. Two documents are neighbours in an
-order where their common prefix has at least 4 values; a pair of similarity 0.8 has none in any order with a
-probability of (1 - 0.8^4)^32, about 4e-8.
+A signature of 128 values gives 32 orders of the documents: by its values from each fourth one on. Spark sorts the
+orders by range, so that documents with long common prefixes are neighbours; two documents of similarity 0.8 share a
+prefix of at least DEPTH values in some order but for a probability of (1 - 0.8^4)^32, about 4e-8.
 
 1. Equal sets are one class; only classes go on.
-2. Each class is confirmed against one neighbour: the head (smallest document) of the regions of equal prefixes
-   with which it shares most orders. Dense regions (over DENSE classes) use a prefix of 8 values as well, where
-   neighbours are closer. Confirmed links give first components.
-3. Regions that share classes form a cluster. A cluster that lies in one component is done, as more links inside
-   change nothing. In all others every class outside the cluster's largest component meets every class of the
-   cluster, chunk by chunk, and is compared on full sets; a chunk tells one link for each component that a class
-   belongs to, never its pairs. No candidate is capped.
+2. Each sorted part is walked once. Runs of neighbours with a common prefix of DEPTH values are regions; a region of
+   more than DENSE classes is parted by ever longer prefixes, each part to the depth that it needs. A class asks
+   for the smallest class of its part and for the neighbour with which it has the longest common prefix; of all
+   orders the most frequent of each kind is confirmed on full sets. Confirmed links give first components.
+3. A region that lies in one component is done, as more links inside change nothing. In all others every class
+   outside the region's largest component meets the region's classes of other components, chunk by chunk: first on
+   signatures (ALIKE equal values of 128; at similarity 0.8 fewer have a probability of about 5e-8), then, where
+   those are alike, on full sets. A chunk tells one link for each component that a class belongs to, never its
+   pairs. Nothing is capped.
 
 Defined results. Words are runs of bytes other than space and 09-0D, A-Z lower-cased. Text without words (or null) has an empty set
 and is linked with nothing. Each row is judged by its own text; a null doc_id comes after all others, and rows
@@ -20,18 +22,22 @@ with equal doc_ids are one node of the result. Every input row gives one output
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import LAST_ID, batches_by_bytes, documents, gram_hashes, ids_of, join2, mix, settled, word_hashes
+from ._util import LAST_ID, batches_by_bytes, documents, gram_hashes, ids_of, join2, mix, quoted, released, row_of, settled, word_hashes
 from .components import components
 
-VALUES, DEPTH = 128, 4
+VALUES, DEPTH, DEEPEST = 128, 4, 12
 ORDERS = VALUES // DEPTH
-DENSE, CHUNK = 64, 2000
+DENSE, CHUNK, ALIKE = 64, 2000, 76
+#: Rows that are walked together.
+WALK_ROWS = 1 << 16
 #: Ids of one broadcast; beyond it texts are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 
@@ -81,29 +87,89 @@ def signed(docs: DataFrame, n: int) -> DataFrame:
                 ["id", "n_shingles", "s1", "s2", "sig"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "id long, n_shingles long, s1 long, s2 long, sig binary")
+    return docs.select("doc_id", "text").mapInArrow(released(run), "id long, n_shingles long, s1 long, s2 long, sig binary")
 
 
 def ordered(classes: DataFrame) -> DataFrame:
-    """(rep, key, deep): for every order the hash of the prefix of 4, and of 8 values."""
+    """(place, rep): in every order the number of the order and the first DEEPEST values, two bytes of each."""
 
     def run(batches):
         for b in batches:
             n = b.num_rows
             if not n:
                 continue
-            rep = b.column(0).to_numpy()
-            sig = np.frombuffer(b"".join(b.column(1).to_pylist()), "<u4").reshape(n, VALUES).astype(np.uint64)
-            order = np.arange(ORDERS, dtype=np.uint64)[None, :]
-            key = mix(np.broadcast_to(order, (n, ORDERS)) + np.uint64(1))
-            keys = []
-            for depth in range(2 * DEPTH):
-                key = join2(key, np.roll(sig, -depth, axis=1)[:, ::DEPTH])
-                if depth + 1 in (DEPTH, 2 * DEPTH):
-                    keys.append(key.reshape(-1).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(rep, ORDERS)), *map(pa.array, keys)], ["rep", "key", "deep"])
+            sig = np.frombuffer(b"".join(b.column(1).to_pylist()), "<u4").reshape(n, VALUES).astype(">u2")
+            row = np.empty((n, ORDERS, 1 + 2 * DEEPEST), np.uint8)
+            row[:, :, 0] = np.arange(ORDERS)
+            for i in range(ORDERS):
+                own = np.take(sig, np.arange(i * DEPTH, i * DEPTH + DEEPEST), axis=1, mode="wrap")
+                row[:, i, 1:] = own.view(np.uint8).reshape(n, -1)
+            place = pa.FixedSizeBinaryArray.from_buffers(pa.binary(row.shape[2]), n * ORDERS, [None, pa.py_buffer(row.tobytes())])
+            yield pa.RecordBatch.from_arrays([place.cast(pa.binary()), pa.array(np.repeat(b.column(0).to_numpy(), ORDERS))], ["place", "rep"])
+
+    return classes.select("rep", "sig").mapInArrow(released(run), "place binary, rep long")
+
+
+def regions(place: np.ndarray, rep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted rows the common prefix with the row before, the smallest class of each row's part, and the neighbour
+    with the longest common prefix (the row's own class where there is none)."""
+    n = len(rep)
+    same = place[1:] == place[:-1]
+    values = same[:, 1::2] & same[:, 2::2]
+    lcp = np.where(values.all(axis=1), DEEPEST, values.argmin(axis=1)) * same[:, 0]
+    lcp = np.concatenate([[0], lcp]).astype(np.int8)
+    part = np.empty(n, np.int64)
+    open_ = np.ones(n, bool)
+    for depth in range(DEPTH, DEEPEST + 1):
+        own = np.cumsum(lcp < depth)
+        done = open_ & ((np.bincount(own)[own] <= DENSE) | (depth == DEEPEST))
+        part[done] = own[done] * (DEEPEST + 1) + depth
+        open_ &= ~done
+        if not open_.any():
+            break
+    names, of = np.unique(part, return_inverse=True)
+    head = np.full(len(names), np.iinfo(np.int64).max)
+    np.minimum.at(head, of, rep)
+    after = np.append(lcp[1:], 0)
+    near = rep.copy()
+    left = (lcp >= DEPTH) & (lcp >= after)
+    right = (after >= DEPTH) & ~left
+    near[left] = rep[np.flatnonzero(left) - 1]
+    near[right] = rep[np.flatnonzero(right) + 1]
+    return lcp, head[of], near
+
+
+def walked(orders: DataFrame) -> DataFrame:
+    """(rep, key, head, near) of sorted parts: key names the region; rows that are alone in theirs are left out, but
+    for the ends of what was walked together, whose region may go on elsewhere."""
+
+    def walk(place: np.ndarray, rep: np.ndarray) -> pa.RecordBatch:
+        lcp, head, near = regions(place, rep)
+        met = lcp >= DEPTH
+        met[:-1] |= met[1:].copy()
+        met[[0, -1]] = True
+        base = np.ascontiguousarray(place[:, 1 : 1 + 2 * DEPTH]).view("<u8").ravel()
+        key = join2(mix(place[:, 0].astype(np.uint64) + np.uint64(1)), base).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(x[met]) for x in (rep, key, head, near)], ["rep", "key", "head", "near"])
+
+    def run(batches):
+        kept: list = []
+        size = 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            raw = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(b.num_rows, -1)
+            kept.append((raw, b.column(1).to_numpy()))
+            size += b.num_rows
+            if size >= WALK_ROWS:
+                place, rep = (np.concatenate(x) for x in zip(*kept))
+                yield walk(place, rep)
+                kept, size = [(place[-1:], rep[-1:])], 1  # the last row is the next part's first neighbour
+        if size > 1 or kept:
+            yield walk(*(np.concatenate(x) for x in zip(*kept)))
 
-    return classes.select("rep", "sig").mapInArrow(run, "rep long, key long, deep long")
+    rows = orders.repartitionByRange("place", "rep").sortWithinPartitions("place", "rep")
+    return rows.mapInArrow(released(run), "rep long, key long, head long, near long")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
@@ -118,7 +184,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
             own = [shingles((t or "").encode(), n).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.binary())], ["id", "set"])
 
-    return rows.mapInArrow(sets, "id long, set binary")
+    return rows.mapInArrow(released(sets), "id long, set binary")
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -139,37 +205,41 @@ def confirmed(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     met = pairs.join(u, "u").join(v, "v").select("u", "v", "a", "b")
-    return settled(met.mapInArrow(check, "u long, v long"))
-
-
-def neighbours(orders: DataFrame) -> DataFrame:
-    """(rep, head, n, deep): region heads of each class and how many orders they share, by both depths."""
-
-    def heads(rows: DataFrame, key: str) -> DataFrame:
-        return rows.groupBy(key).agg(F.min("rep").alias("head"), F.count("*").alias("size")).where("size > 1")
-
-    near = orders.join(heads(orders, "key"), "key").where("rep != head")
-    dense = near.where(F.col("size") > DENSE).select("rep", "deep")
-    far = dense.join(heads(dense, "deep"), "deep").where("rep != head")
-    shared = lambda rows, deep: rows.groupBy("rep", "head").agg(F.count("*").alias("n")).withColumn("deep", F.lit(deep))
-    return shared(near, False).unionByName(shared(far, True))
+    return settled(met.mapInArrow(released(check), "u long, v long"))
 
 
 def best_pairs(found: DataFrame) -> DataFrame:
-    """(u, v): each class with the head that it shares most orders with, at either depth."""
-    best = found.groupBy("rep", "deep").agg(F.max_by("head", F.struct("n", -F.col("head"))).alias("head"))
-    return best.select(F.col("rep").alias("u"), F.col("head").alias("v")).distinct()
+    """(u, v): each class with the head and with the neighbour that it met in most orders."""
+    other = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("head").alias("other")), F.struct(F.lit(1).alias("kind"), F.col("near").alias("other"))))
+    rows = found.select("rep", other.alias("x")).select("rep", "x.*").where("rep != other").repartition("rep")
+    met = rows.groupBy("rep", "kind", "other").agg(F.count("*").alias("n"))
+    best = met.groupBy("rep", "kind").agg(F.max_by("other", F.struct("n", -F.col("other"))).alias("other"))
+    return best.select(F.greatest("rep", "other").alias("u"), F.least("rep", "other").alias("v")).distinct()
+
+
+def alike(members: list, askers: list) -> tuple[set[int], set[int]]:
+    """Members and askers (id, root, signature) that have many values in common with one of another root."""
+    sig = lambda rows: np.frombuffer(b"".join(r[2] for r in rows), "<u4").reshape(len(rows), VALUES)
+    theirs, roots = sig(members), np.array([r[1] for r in members])
+    hit, asked = np.zeros(len(members), bool), set()
+    for (own, root, _), values in zip(askers, sig(askers)):
+        met = (roots != root) & ((theirs == values).sum(axis=1) >= ALIKE)
+        if met.any():
+            hit |= met
+            asked.add(own)
+    return {members[i][0] for i in np.flatnonzero(hit).tolist()}, asked
 
 
 def compare(members: list, askers: list, percent: int) -> tuple[list[int], list[int]]:
     """Links between askers and members (id, root, set), one for each asker and root met."""
-    ids, roots, sets = zip(*members)
+    ids, roots, sets = zip(*[(i, root, np.frombuffer(x, "<u8")) for i, root, x in members])
     size = np.array(list(map(len, sets)))
     every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
     o = np.argsort(every, kind="stable")
     every, owner = every[o], owner[o]
     u, v = [], []
-    for own, root, s in askers:
+    for own, root, x in askers:
+        s = np.frombuffer(x, "<u8")
         lo, hi = np.searchsorted(every, s, "left"), np.searchsorted(every, s, "right")
         n = hi - lo
         at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
@@ -183,42 +253,81 @@ def compare(members: list, askers: list, percent: int) -> tuple[list[int], list[
     return u, v
 
 
-def open_links(docs: DataFrame, clusters: DataFrame, roots: DataFrame, n: int, percent: int) -> DataFrame:
-    """(u, v): links between components inside clusters (rep, cluster)."""
-    rows = clusters.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    rows = settled(rows)
-    counts = rows.groupBy("cluster", "root").agg(F.count("*").alias("n"))
-    open_ = counts.groupBy("cluster").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("roots")).where("roots > 1")
+def meeting(rows: DataFrame, payload: DataFrame, meet: Callable, schema: str) -> DataFrame:
+    """meet(members, askers) of every chunk of the regions of rows (key, rep, root) that have several roots; payload
+    (id, value) is what members and askers bring along. Chunks are sorted, and read one after the other."""
+    counts = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
+    open_ = counts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("roots")).where("roots > 1")
     chunks = lambda c: F.ceil(c / CHUNK).cast("int")
-    open_ = open_.select("cluster", "main", chunks(F.col("n")).alias("parts"), chunks(F.col("n") - F.col("most")).alias("asks"))
-    member = settled(rows.join(open_, "cluster"))
-    full = settled(member.join(sets_of(docs, member.select(F.col("rep").alias("id")), n), F.col("rep") == F.col("id")).drop("id"))
+    open_ = open_.select("key", "main", chunks(F.col("n")).alias("parts"), chunks(F.col("n") - F.col("most")).alias("asks"))
+    member = rows.join(open_, "key").join(payload, F.col("rep") == F.col("id")).drop("id")
     part = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
     ask = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("asks")).cast("int")
-    # every chunk of a cluster meets every chunk of its askers
-    every = full.select("cluster", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("asks") - 1)).alias("ask"), "rep", "root", "set")
-    askers = full.where("root != main").select("cluster", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), ask.alias("ask"), "rep", "root", "set")
+    # every chunk of a region meets every chunk of its askers
+    as_member = F.transform(F.sequence(F.lit(0), F.col("asks") - 1), lambda i: F.struct(part.alias("part"), i.alias("ask"), F.lit(False).alias("asking")))
+    as_asker = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(i.alias("part"), ask.alias("ask"), F.lit(True).alias("asking")))
+    both = F.concat(as_member, F.when(F.col("root") != F.col("main"), as_asker).otherwise(F.array().cast("array<struct<part:int,ask:int,asking:boolean>>")))
+    dealt = member.select("key", F.explode(both).alias("c"), "rep", "root", "value").select("key", "c.part", "c.ask", "c.asking", "rep", "root", "value")
+    fields = [(x.split()[0], pa.int64()) for x in schema.split(", ")]
+
+    def run(batches):
+        group, members, askers = None, [], []
+        out: list[tuple] = []
+
+        def table():
+            cols = list(zip(*out)) if out else [()] * len(fields)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, fields)], [n for n, _ in fields])
+
+        for b in batches:
+            for key, part, ask, asking, rep, root, value in zip(*(c.to_pylist() for c in b.columns)):
+                if (key, part, ask) != group:
+                    if members and askers:
+                        out += meet(group[0], members, askers)
+                    group, members, askers = (key, part, ask), [], []
+                (askers if asking else members).append((rep, root, value))
+            if len(out) > 10_000:
+                yield table()
+                out = []
+        if members and askers:
+            out += meet(group[0], members, askers)
+        yield table()
+
+    keys = ["key", "part", "ask"]
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(released(run), schema)
+
+
+def open_links(docs: DataFrame, classes: DataFrame, found: DataFrame, roots: DataFrame, n: int, percent: int) -> DataFrame:
+    """(u, v): links between components that share regions (rep, key)."""
+    rows = found.select("rep", "key").distinct().join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    rows = settled(rows)
+
+    def by_signature(key, members, askers):
+        return [(key, i) for group in alike(members, askers) for i in group]
+
+    near = meeting(rows, classes.select(F.col("rep").alias("id"), F.col("sig").alias("value")), by_signature, "key long, rep long")
+    near = settled(near.distinct().join(rows, ["key", "rep"]))
 
-    def meet(left, right):
-        rows = [[(r["rep"], r["root"], np.frombuffer(r["set"], "<u8")) for r in x.select(["rep", "root", "set"]).to_pylist()] for x in (left, right)]
-        u, v = compare(*rows, percent) if all(rows) else ([], [])
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+    def by_sets(key, members, askers):
+        return zip(*compare(members, askers, percent))
 
-    keys = ["cluster", "part", "ask"]
-    return settled(every.groupBy(*keys).cogroup(askers.groupBy(*keys)).applyInArrow(meet, "u long, v long").where("u != v").distinct())
+    full = sets_of(docs, near.select(F.col("rep").alias("id")), n).withColumnRenamed("set", "value")
+    return settled(meeting(near, full, by_sets, "u long, v long").where("u != v").distinct())
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id): ids with null as LAST_ID."""
     base = settled(signed(docs, n))
     classes = settled(base.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min(F.struct("id", "sig")).alias("m")).select("s1", "s2", F.col("m.id").alias("rep"), F.col("m.sig").alias("sig")))
-    found = settled(neighbours(ordered(classes)))
-    links = confirmed(docs, best_pairs(found), n, percent)
-    roots = components(links)
-    clusters = components(found.select(F.col("rep").alias("u"), F.col("head").alias("v")))
-    clusters = clusters.select(F.col("node").alias("rep"), F.col("root").alias("cluster"))
-    clusters = clusters.unionByName(clusters.select(F.col("cluster").alias("rep"), "cluster").distinct())
-    roots = components(links.unionByName(open_links(docs, clusters, roots, n, percent)))
+    found = settled(walked(ordered(classes)))
+    roots = components(confirmed(docs, best_pairs(found), n, percent))
+    more = open_links(docs, classes, found, roots, n, percent)
+    if not more.isEmpty():
+        # links between components: their roots are nodes of a smaller graph
+        root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+        more = more.join(root_of("u"), "u", "left").join(root_of("v"), "v", "left").select(F.coalesce("u_root", "u").alias("u"), F.coalesce("v_root", "v").alias("v"))
+        joined = components(more).withColumnRenamed("root", "top")
+        roots = roots.unionByName(joined.select("node", F.col("node").alias("root")).join(roots, "node", "left_anti"))
+        roots = roots.join(joined.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     found = classes.select("s1", "s2", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("root", "rep").alias("component_id"))
     full = base.where("n_shingles > 0").select("id", "n_shingles", "s1", "s2").join(found, ["s1", "s2"]).select("id", "n_shingles", "component_id")
     return full.unionByName(base.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id")))
@@ -248,13 +357,13 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     met = docs.join(shared, same, "left_semi").withColumn("__node", hashed)
     worded = F.coalesce(F.col("text").rlike(WORDED), F.lit(False))
     # of rows with one doc_id and text the least by the other columns stays
-    one = met.where(worded).groupBy("__node").agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*", "__node")
+    one = met.where(worded).groupBy("__node").agg(F.min(row_of(docs)).alias("__row")).select("__row.*", "__node")
     nodes = settled(alone.unionByName(one).unionByName(met.where(~worded)))
     found = settled(near_duplicates(nodes.select(F.col("__node").alias("doc_id"), "text"), n, percent).where("n_shingles > 0").select("id", "component_id"))
     order = F.struct(doc_id.isNull(), doc_id, F.col("id"))
     stay = found.join(nodes.select("__node", "doc_id"), F.col("id") == F.col("__node")).groupBy("component_id").agg(F.min(order).alias("first")).select("first.id")
     gone = found.select(F.col("id").alias("gone")).join(stay, F.col("gone") == F.col("id"), "left_anti")
-    return nodes.join(gone, F.col("__node") == gone["gone"], "left_anti").select(*docs.columns)
+    return nodes.join(gone, F.col("__node") == gone["gone"], "left_anti").select(*map(quoted, docs.columns))
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
