@@ -5,16 +5,18 @@ reads a run without shuffling or sorting it. A new batch is reduced to its first
 with every run, and what is new becomes a run of level 0. A level that has `fanout` runs is merged into one run of
 the next level, so a store of n batches holds about fanout x log(n) runs.
 
-Batches are given in order of doc_id; then the runs together hold the smallest document of every key.
+Batches are given in order of doc_id; then the runs together hold the smallest document of every key. The lines of
+a document are then looked up in the runs. Keys of very many documents would fill one bucket of that join: they are
+found in a sample, looked up once in the runs, and joined by a broadcast.
 
 Defined results. Text is split at \\n; null or empty text is one empty line. A key is a line without [\\x20\\x09-\\x0D]
 at both ends, A-Z lower-cased; keys of fewer than 10 code points are never dropped. Rows with one doc_id count as one
-document; a null doc_id comes after all others. Every input row gives one output row.
+document; a null doc_id comes after all others. Every input row gives one output row. Own columns n_lines and
+n_dropped go.
 """
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 
 import numpy as np
@@ -22,13 +24,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._util import LAST_ID, batches_by_bytes, documents, ids_of, scratch, settled
+from ._util import LAST_ID, batches_by_bytes, documents, ids_of, quoted, released, row_of, scratch, settled
 
 SPACE = b" \t\n\v\f\r"
 LEAST = 10
-#: A key is hot from so many documents on, or from a HOT_KEYS-th of all keys' documents if that is more.
-HOT_ROWS, HOT_KEYS = 500, 10_000
+#: A key is hot from so many documents on, or from a HOT_KEYS-th of all keys' documents if that is more. One row of
+#: SAMPLED (by a hash) shows which; a key that is missed or found too much changes no result.
+HOT_ROWS, HOT_KEYS, SAMPLED = 2000, 10_000, 32
 
 
 def key_of(line: bytes) -> bytes | None:
@@ -52,7 +56,7 @@ def line_keys(docs: DataFrame) -> DataFrame:
             h = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(np.repeat(ids_of(b.column(0)), counts))], ["h1", "h2", "doc_id"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "h1 long, h2 long, doc_id long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(run), "h1 long, h2 long, doc_id long")
 
 
 class Runs:
@@ -93,6 +97,13 @@ class Runs:
             for name in level:
                 self._drop(name)
 
+    def close(self) -> None:
+        """Drops all runs."""
+        for level in self.levels:
+            for name in level:
+                self._drop(name)
+        self.levels = []
+
     def _drop(self, name: str) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.spark.sql(f"DESCRIBE FORMATTED {name}").where("col_name = 'Location'").first()["data_type"])
         self.spark.sql(f"DROP TABLE {name}")
@@ -107,13 +118,19 @@ class Runs:
         return keys.limit(0) if found is None else found
 
 
-def line_dedup(docs: DataFrame, batches: int = 4, fanout: int = 2) -> DataFrame:
-    """docs with kept text (null stays null where nothing goes), n_lines and n_dropped."""
-    spark = docs.sparkSession
+def hot_keys(keys: DataFrame, hot_rows: int, sampled: int) -> DataFrame:
+    """(h1, h2): keys that many documents hold, as a sample of the rows shows; at most about HOT_KEYS."""
+    part = keys.where(F.pmod(F.xxhash64("h1", "h2", "doc_id"), F.lit(sampled)) == 0)
+    most = max(hot_rows, keys.count() // HOT_KEYS) // sampled
+    return settled(part.groupBy("h1", "h2").count().where(F.col("count") > most).select("h1", "h2"))
+
+
+def gone_lines(docs: DataFrame, batches: int, fanout: int, hot_rows: int, sampled: int) -> DataFrame:
+    """(doc_id, gone): hashes of the lines of each document that a smaller one holds, null ids as LAST_ID."""
     keys = settled(line_keys(docs))
-    bounds = [b for b in keys.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)] if batches > 1 else []
-    edges = sorted({int(b) for b in bounds})
-    runs = Runs(spark, fanout)
+    bounds = keys.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
+    edges = sorted({min(int(b), LAST_ID - 1) for b in bounds})
+    runs = Runs(docs.sparkSession, fanout)
     for low, high in zip([None, *edges], [*edges, None]):
         part = keys
         if low is not None:
@@ -121,16 +138,22 @@ def line_dedup(docs: DataFrame, batches: int = 4, fanout: int = 2) -> DataFrame:
         if high is not None:
             part = part.where(F.col("doc_id") <= high)
         runs.add(part)
-    # keys of very many documents would fill one bucket of the merge join; there are at most HOT_KEYS of them
-    n = keys.count()
-    hot = keys.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where(F.col("n") > max(HOT_ROWS, n // HOT_KEYS))
-    hot = settled(hot.drop("n"))
-    early = keys.join(F.broadcast(hot), ["h1", "h2"]).where("first < doc_id").drop("first")
-    early = early.unionByName(runs.earlier(keys.join(F.broadcast(hot), ["h1", "h2"], "left_anti")))
-    gone = early.groupBy("doc_id").agg(F.collect_set("h1").alias("gone"))  # at most the lines of a document
-    names = docs.columns
-    rows = docs.select(F.struct(*names).alias("row"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("__id"))
-    rows = rows.join(gone.withColumnRenamed("doc_id", "__id"), "__id", "left").select("row", "text", "gone")
+    hot = hot_keys(keys, hot_rows, sampled)
+    early = runs.earlier(keys.join(F.broadcast(hot), ["h1", "h2"], "left_anti"))
+    for run in runs.runs():
+        first = run.withColumnRenamed("doc_id", "first").join(F.broadcast(hot), ["h1", "h2"])
+        early = early.unionByName(keys.join(F.broadcast(first), ["h1", "h2"]).where("first < doc_id").drop("first"))
+    gone = settled(early.groupBy("doc_id").agg(F.collect_set("h1").alias("gone")))  # at most the lines of a document
+    runs.close()
+    return gone
+
+
+def deduped(docs: DataFrame, batches: int = 4, fanout: int = 4, hot_rows: int = HOT_ROWS, sampled: int = SAMPLED) -> DataFrame:
+    """(row, kept, n_lines, n_dropped): row holds docs' columns, kept the text that stays (null where text is null and
+    nothing goes)."""
+    gone = gone_lines(docs, batches, fanout, hot_rows, sampled).withColumnRenamed("doc_id", "id")
+    rows = docs.select(row_of(docs), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"))
+    rows = rows.join(gone, "id", "left").select("row", "text", "gone")
 
     def run(parts):
         for b in batches_by_bytes(parts, "text"):
@@ -151,9 +174,15 @@ def line_dedup(docs: DataFrame, batches: int = 4, fanout: int = 2) -> DataFrame:
                 dropped.append(len(lines) - len(left))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.string()), pa.array(n, pa.int64()), pa.array(dropped, pa.int64())], ["row", "kept", "n_lines", "n_dropped"])
 
-    out = rows.mapInArrow(run, f"row {docs.select(F.struct(*names).alias('row')).schema['row'].dataType.simpleString()}, kept string, n_lines long, n_dropped long")
-    cols = [F.col("kept").alias("text") if c == "text" else F.col("row")[c].alias(c) for c in names]
-    return out.select(*cols, "n_lines", "n_dropped")
+    more = T.StructType.fromDDL("kept string, n_lines long, n_dropped long")
+    return rows.mapInArrow(released(run), T.StructType([rows.schema["row"], *more]))
+
+
+def line_dedup(docs: DataFrame, *args, **kwargs) -> DataFrame:
+    """docs with kept text, n_lines and n_dropped; the parameters are those of deduped()."""
+    out = deduped(docs, *args, **kwargs)
+    own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return out.select(*[F.col("kept").alias("text") if c == "text" else F.col(f"row.{quoted(c)}").alias(c) for c in own], "n_lines", "n_dropped")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,10 +190,6 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-def kept_digest(text: str | None) -> str:
-    return hashlib.sha256((text or "").encode()).hexdigest()
-
-
 OP2_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT rid, doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS i FROM d),
