@@ -7,7 +7,6 @@ gives one row, repeated doc_ids included. An empty benchmark or an empty table g
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import numpy as np
@@ -16,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._util import documents, gram_hashes, settled, word_hashes
+from ._util import batches_by_bytes, documents, gram_hashes, quoted, released, settled, word_hashes
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")  # as bytes: [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after lower-casing
 
@@ -45,7 +44,7 @@ def benchmark_windows(benchmark: DataFrame, n: int = 8) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(windows, pa.binary()), pa.array(sizes, pa.int32())], ["item", "window", "size"])
 
     rows = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item"), "text")
-    return rows.mapInArrow(run, "item string, window binary, size int").distinct()
+    return rows.mapInArrow(released(run), "item string, window binary, size int").distinct()
 
 
 class Windows:
@@ -113,7 +112,7 @@ def scanned(docs: DataFrame, benchmark: DataFrame, n: int, carry: list[str], sli
     slices = max(1, -(-total // slice_windows))
     if slices > 1:
         windows = settled(windows)
-    out = docs.select(F.struct(*carry).alias("row"), "text", F.lit(None).cast(_FOUND).alias("found"))
+    out = docs.select(F.struct(*map(quoted, carry)).alias("row"), "text", F.lit(None).cast(_FOUND).alias("found"))
     for i in range(slices):
         part = windows if slices == 1 else windows.where(F.pmod(F.xxhash64("window"), F.lit(slices)) == i)
         index = spark.sparkContext.broadcast(Windows([(r.item, r.window, r.size) for r in part.toLocalIterator()]))
@@ -122,7 +121,7 @@ def scanned(docs: DataFrame, benchmark: DataFrame, n: int, carry: list[str], sli
 
         def run(batches, index=index, last=last):
             own = index.value
-            for b in batches:
+            for b in batches_by_bytes(batches, "text"):
                 found = []
                 for text, before in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                     words = words_of(text)
@@ -134,7 +133,7 @@ def scanned(docs: DataFrame, benchmark: DataFrame, n: int, carry: list[str], sli
                 kept = [b.column(0), pa.nulls(b.num_rows, pa.string()) if last else b.column(1)]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(found, b.schema.field(2).type)], schema=b.schema)
 
-        out = out.mapInArrow(run, out.schema)
+        out = out.mapInArrow(released(run), out.schema)
         if not last:
             out = settled(out)
     return out
@@ -166,10 +165,10 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, n: int = 8, most_items: int =
 
     hit = F.size("found.hit_spans") > 0
     plain = kept.where(~hit).select("row.*")
-    mended = kept.where(hit).select("row.*", cut("row.text", "found.hit_spans").alias("__cut"))
-    length = F.length("__cut").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
-    new = {"text": F.col("__cut"), "n_chars": length}
-    return plain.unionByName(mended.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns]))
+    mended = kept.where(hit).select("row", cut("row.text", "found.hit_spans").alias("cut"))
+    length = F.length("cut").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
+    new = {"text": F.col("cut"), "n_chars": length}
+    return plain.unionByName(mended.select(*[new.get(c, F.col(f"row.{quoted(c)}")).alias(c) for c in docs.columns]))
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,7 +209,3 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
        sha256(coalesce(s, '')) AS items_sha256, coalesce(n, 0) >= 2 AS contaminated
 FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
 """
-
-
-def items_digest(items) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
