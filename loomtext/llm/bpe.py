@@ -2,7 +2,8 @@
 
 The rank file is read on the driver (its path is a parameter) and turned into a tokenizers model that is
 broadcast (under 4 MB for 50k tokens; MOST_BYTES is checked). Texts are cut by the pattern, distinct pieces of
-a batch are encoded once through a byte-to-character alphabet, and a bounded cache keeps frequent pieces.
+a batch are encoded once through a byte-to-character alphabet, and a cache of bounded bytes keeps frequent pieces.
+A text is read in runs of RUN_PIECES pieces, so that a very long one needs no more than its ids.
 Decoding maps ids back to bytes; characters that a token boundary splits come together again as bytes are joined
 before they are read as UTF-8.
 
@@ -15,18 +16,22 @@ import base64
 import hashlib
 import os
 import struct
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._util import batches_by_bytes, documents
+from ._util import batches_by_bytes, documents, quoted, released
 
 MOST_BYTES = 64 << 20
 
-#: Pieces that one task remembers, in two generations.
-CACHE_PIECES = 150_000
+#: Bytes of pieces and ids that one task remembers in each of two generations, longest piece remembered, pieces
+#: that are encoded together.
+CACHE_BYTES, LONGEST, RUN_PIECES = 6 << 20, 256, 200_000
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -89,38 +94,54 @@ class Coder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tok, self.tokens = Tokenizer.from_str(model), tokens
-        self.pieces = regex.compile(pattern).findall
+        self.sizes = np.array(list(map(len, tokens)), np.int64)
+        self.pieces = regex.compile(pattern).finditer
         self.forget()
 
     def forget(self) -> None:
         """Pieces with their packed ids; a task starts and ends with none, so that idle workers stay small."""
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.size = 0
 
-    def learn(self, missing: list[str]) -> None:
-        if len(self.young) + len(missing) > CACHE_PIECES:
-            self.old, self.young = self.young, {}
+    def _encoded(self, missing: list[str]) -> dict[str, bytes]:
+        out = {}
         for i in range(0, len(missing), 4096):
             part = missing[i : i + 4096]
             for piece, e in zip(part, self.tok.encode_batch(part, add_special_tokens=False)):
-                self.young[piece] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+                out[piece] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        return out
 
-    def encode(self, text: str) -> list[int]:
-        """The ids of the text, piece by piece."""
-        pieces = self.pieces(text)
+    def _ids(self, pieces: list[str]) -> np.ndarray:
         young, old = self.young, self.old
-        missing = []
+        own, missing = {}, []
         for p in set(pieces):
-            if p not in young:
-                if p in old:
-                    young[p] = old[p]
-                else:
+            if (x := young.get(p)) is None:
+                if (x := old.get(p)) is None:
                     missing.append(p)
+                    continue
+                young[p] = x
+                self.size += len(p) + len(x)
+            own[p] = x
         if missing:
-            self.learn(missing)
-            if self.young is not young:  # turned over: pieces may be in either
-                young = self.old | self.young
-        return np.frombuffer(b"".join([young[p] for p in pieces]), "<u4").tolist()
+            new = self._encoded(missing)
+            own |= new
+            for p, x in new.items():
+                if len(p) <= LONGEST:
+                    young[p] = x
+                    self.size += len(p) + len(x)
+        if self.size > CACHE_BYTES:
+            self.old, self.young, self.size = young, {}, 0
+        return np.frombuffer(b"".join([own[p] for p in pieces]), "<u4")
+
+    def runs(self, text: str) -> Iterator[np.ndarray]:
+        """The ids of the text, some pieces at a time."""
+        found = (m[0] for m in self.pieces(text))
+        while run := list(islice(found, RUN_PIECES)):
+            yield self._ids(run)
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.concatenate([np.empty(0, "<u4"), *self.runs(text)])
 
     def decode(self, ids) -> bytes:
         tokens = self.tokens
@@ -139,6 +160,19 @@ def _coder(shared) -> Coder:
     return _coders[id(value)][1]
 
 
+def _done(run):
+    """run, after which the worker's coder forgets its pieces, however the task ends."""
+
+    def batches(parts):
+        try:
+            yield from run(parts)
+        finally:
+            for _, coder in _coders.values():
+                coder.forget()
+
+    return released(batches)
+
+
 def vocabulary(path: str | None = None) -> tuple[str, list[bytes], str]:
     import public_tokenizers
 
@@ -150,47 +184,46 @@ def vocabulary(path: str | None = None) -> tuple[str, list[bytes], str]:
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """docs with ids, byte_ends and char_starts of its tokens.
+    """docs with ids, byte_ends and char_starts of its tokens; own columns of these names go.
 
     char_starts holds the index of the character in which a token starts, also where the token starts inside it.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
-    names = docs.columns
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["ids array<int>", "byte_ends array<int>", "char_starts array<int>"])
+    more = T.StructType.fromDDL("ids array<int>, byte_ends array<int>, char_starts array<int>")
+    own = [c for c in docs.columns if c not in more.names]
+    rows = docs.select(F.struct(*map(quoted, own)).alias("row"), "text")
 
     def run(batches):
         coder = _coder(shared)
         for b in batches_by_bytes(batches, "text"):
             ids, ends, starts = [], [], []
-            for text in b.column(names.index("text")).to_pylist():
+            for text in b.column(1).to_pylist():
                 text = text or ""
                 own = coder.encode(text)
                 raw = np.frombuffer(text.encode(), np.uint8)
-                end = np.cumsum([len(coder.tokens[i]) for i in own], dtype=np.int64)
+                end = np.cumsum(coder.sizes[own], dtype=np.int64)
                 char = np.cumsum((raw & 0xC0) != 0x80) - 1
                 ids.append(own)
                 ends.append(end)
                 starts.append(char[np.concatenate([[0], end[:-1]]).astype(np.int64)] if len(own) else [])
-            more = [pa.array(x, pa.list_(pa.int32())) for x in (ids, ends, starts)]
-            yield pa.RecordBatch.from_arrays([*b.columns, *more], [*names, "ids", "byte_ends", "char_starts"])
-        coder.forget()
+            cols = [pa.array(x, pa.list_(pa.int32())) for x in (ids, ends, starts)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["row", *more.names])
 
-    return docs.mapInArrow(run, schema)
+    return rows.mapInArrow(_done(run), T.StructType([rows.schema["row"], *more])).select("row.*", *more.names)
 
 
 def decode(df: DataFrame, ids: str = "ids", path: str | None = None) -> DataFrame:
-    """df with decoded: the bytes of its ids."""
+    """df with decoded: the bytes of its ids; an own column of that name goes."""
     shared = df.sparkSession.sparkContext.broadcast(vocabulary(path))
-    names = df.columns
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + ["decoded binary"])
+    rows = df.select(F.struct(*[quoted(c) for c in df.columns if c != "decoded"]).alias("row"), F.col(quoted(ids)).alias("ids"))
 
     def run(batches):
         coder = _coder(shared)
         for b in batches:
-            out = [coder.decode(x or []) for x in b.column(names.index(ids)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*names, "decoded"])
+            out = [coder.decode(x or []) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["row", "decoded"])
 
-    return df.mapInArrow(run, schema)
+    return rows.mapInArrow(_done(run), T.StructType([rows.schema["row"], T.StructField("decoded", T.BinaryType())])).select("row.*", "decoded")
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -203,14 +236,18 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
         for b in batches_by_bytes(batches, "text"):
             n, coded, decoded = [], [], []
             for text in b.column(1).to_pylist():
-                ids = coder.encode(text or "")
-                n.append(len(ids))
-                coded.append(hashlib.sha256(b" ".join([shown[i] for i in ids])).hexdigest())
-                decoded.append(hashlib.sha256(coder.decode(ids)).hexdigest())
+                count, numbers, read = 0, hashlib.sha256(), hashlib.sha256()
+                for ids in coder.runs(text or ""):
+                    ids = ids.tolist()
+                    numbers.update(b" " * (count > 0) + b" ".join([shown[i] for i in ids]))
+                    read.update(coder.decode(ids))
+                    count += len(ids)
+                n.append(count)
+                coded.append(numbers.hexdigest())
+                decoded.append(read.hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(coded), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        coder.forget()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_done(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

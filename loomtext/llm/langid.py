@@ -24,12 +24,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import batches_by_bytes, documents
+from ._util import batches_by_bytes, documents, released
 
 LETTER = regex.compile(r"\p{L}")
 MOST_CELLS = 20_000_000
-#: Numbers that a worker's table of word scores holds.
-CACHE_CELLS = 2_000_000
+#: Numbers that a worker's table of word scores holds, and characters of its words.
+CACHE_CELLS, CACHE_CHARS = 2_000_000, 4_000_000
 #: Distinct words that a training task gathers before it counts their pieces.
 FLUSH_WORDS = 200_000
 
@@ -70,11 +70,13 @@ class Scorer:
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
+        self.chars = 0
         self.table = np.empty((0, len(self.langs)))
 
     def learn(self, words: list[str]) -> None:
         """Adds words that are not yet known: those of one length go through the forward pass together."""
         at = len(self.index)
+        self.chars += sum(map(len, words))
         self.index.update(zip(words, range(at, at + len(words))))
         if at + len(words) > len(self.table):
             self.table = np.concatenate([self.table, np.empty((max(len(words), len(self.table), 1024), len(self.langs)))])
@@ -90,7 +92,7 @@ class Scorer:
     def score(self, words: list[str]) -> np.ndarray:
         """Rows of words x languages."""
         if missing := [w for w in dict.fromkeys(words) if w not in self.index]:
-            if len(self.index) + len(missing) > self.most:
+            if len(self.index) + len(missing) > self.most or self.chars > CACHE_CHARS:
                 self.clear()
                 missing = list(dict.fromkeys(words))
             self.learn(missing)
@@ -177,7 +179,7 @@ def fit(docs: DataFrame, path: str | None = None, smoothing: float = 0.5) -> tup
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], ["lang", "piece", "n"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = rows.mapInArrow(count, "lang string, piece long, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(released(count), "lang string, piece long, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
     langs = sorted(r.lang for r in rows.select("lang", "doc_id").where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) != 1).select("lang").distinct().collect())
     if len(langs) * len(pieces) > MOST_CELLS:
         raise ValueError("languages x pieces is too large for one model")
@@ -213,7 +215,7 @@ def predict(docs: DataFrame, model: tuple) -> DataFrame:
                 [b.column(0), pa.array([held_out(i) for i in ids], pa.bool_()), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"]
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 Pre-tokens are runs of non-space bytes, each preceded by the vocabulary's space mark. Distinct pre-tokens go into
 a trie of characters; a node holds the best score of its prefix and the number of pieces on that path, computed
-once however many words share the prefix; a terminal's count is what its word costs. Piece scores follow Zipf's
-law in the order of the vocabulary, log 1 / (rank + 2); characters outside the vocabulary cost one byte piece for
-each UTF-8 byte. Ties go to fewer pieces. The trie of a worker is bounded (TRIE_NODES) and starts anew when full,
-which changes no count.
+once however many words share the prefix; a terminal's count is what its word costs. The forward pass keeps the best
+path, as a count of tokens is that of one segmentation. Piece scores follow Zipf's law in the order of the
+vocabulary, log 1 / (rank + 2), as tokenizers are not trained here; characters outside the vocabulary cost one byte
+piece for each UTF-8 byte. Ties go to fewer pieces. A worker's trie is bounded (TRIE_NODES) and starts anew when
+full; words of over LONGEST bytes go through the same pass without leaving nodes. Neither changes a count.
 
 Defined results. Null or empty text, or only white space: no tokens. Every input row gives one output row.
 """
@@ -20,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import batches_by_bytes, documents
+from ._util import batches_by_bytes, documents, released
 
 MARK = "▁"
-TRIE_NODES = 400_000
-#: Words whose counts a worker remembers after the trie has been renewed.
-KNOWN_WORDS = 700_000
+TRIE_NODES = 200_000
+#: Words whose terminals a worker finds at once, also after the trie has been renewed; longest word of the trie.
+TERMINALS, LONGEST = 300_000, 64
 
 
 def read_pieces(path: str | None = None) -> dict[str, float]:
@@ -51,14 +52,15 @@ class Trie:
             for c in piece:
                 node = node[0].setdefault(c, [{}, None])
             node[1] = score
-        self.known: dict[bytes, int] = {}
+        self.terminals: dict[bytes, int] = {}
         self.clear()
 
     def clear(self) -> None:
         self.root = [0.0, 0, {}, ()]
         self.nodes = 1
 
-    def _child(self, node: list, c: str) -> list:
+    def _step(self, node: list, c: str) -> list:
+        """The node that c leads to."""
         size = 1 if c < "\x80" else len(c.encode())
         score, n = node[0] + size * self.byte, node[1] + size
         still = []
@@ -70,7 +72,10 @@ class Trie:
                     s, m = from_score + s, from_n + 1
                     if s > score or s == score and m < n:
                         score, n = s, m
-        child = node[2][c] = [score, n, {}, still]
+        return [score, n, {}, still]
+
+    def _child(self, node: list, c: str) -> list:
+        child = node[2][c] = self._step(node, c)
         self.nodes += 1
         return child
 
@@ -83,11 +88,21 @@ class Trie:
             node = node[2].get(c) or self._child(node, c)
         return node[1]
 
+    def count_alone(self, word: str) -> int:
+        """The same without nodes that stay, in memory that does not grow with the word."""
+        node = [0.0, 0, {}, ()]
+        for c in word:
+            node = self._step(node, c)
+        return node[1]
+
     def learn(self, raw: bytes) -> int:
-        """The count of a word, remembered."""
-        if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
-        n = self.known[raw] = self.count(MARK + raw.decode("utf-8", "replace"))
+        """The count of a word; its terminal is remembered unless the word is long."""
+        word = MARK + raw.decode("utf-8", "replace")
+        if len(raw) > LONGEST:
+            return self.count_alone(word)
+        if len(self.terminals) >= TERMINALS:
+            self.terminals.clear()
+        n = self.terminals[raw] = self.count(word)
         return n
 
 
@@ -111,7 +126,7 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches):
         trie = _trie(shared)
-        known = trie.known.get
+        known = trie.terminals.get
         gc.disable()  # a trie has no cycles, and walking it over and over costs more than building it
         try:
             for b in batches_by_bytes(batches, "text"):
@@ -130,7 +145,7 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
             gc.freeze()
             gc.enable()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_pretokens long, n_tokens long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(run), "doc_id long, n_pretokens long, n_tokens long")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
