@@ -8,23 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.llm import bpe, decontaminate, line_dedup, near_dedup, quality
-from loomtext.llm._util import documents, settled, small_batches
+from loomtext.llm._util import documents, quoted, settled, small_batches
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or the likelihood ratio go."""
     small_batches(spark)
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.assess(docs, model).where("kept").select(*docs.columns)
+    return quality.assessed(docs, model).where("kept").select("row.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of at least 10 characters stay only in the first document that holds them."""
     small_batches(spark)
-    out = line_dedup.line_dedup(docs)
+    out = line_dedup.deduped(docs)
+    new = {"text": F.col("kept")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("n_dropped") > 0, F.length("kept")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new.get(c, F.col(f"row.{quoted(c)}")).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +54,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("bpe", encoding),
 ]
 
-#: The quality stage's hashed model can't be expressed in SQL; tests hold run() against a brute-force version.
+#: The quality stage's hashed model can't be expressed in SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
