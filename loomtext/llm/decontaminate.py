@@ -100,8 +100,19 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 8, carry: list[str] | N
     return scanned(docs, benchmark, n, carry, slice_windows).select("row.*", "found")
 
 
-def scanned(docs: DataFrame, benchmark: DataFrame, n: int, carry: list[str], slice_windows: int = SLICE_WINDOWS) -> DataFrame:
-    """(row, text, found): row holds the carried columns.
+def without(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without some ranges of its words; the bytes around them stay."""
+    raw = text.encode()
+    at = [m.span() for m in WORD.finditer(raw.lower())]
+    pieces, last = [], 0
+    for a, b in spans:
+        pieces.append(raw[last : at[a][0]])
+        last = at[b - 1][1]
+    return b"".join([*pieces, raw[last:]]).decode("utf-8", "replace")
+
+
+def scanned(docs: DataFrame, benchmark: DataFrame, n: int, carry: list[str], slice_windows: int = SLICE_WINDOWS, cut: bool = False) -> DataFrame:
+    """(row, text, found): row holds the carried columns, text is null or, with cut, the text without its hit words.
 
     The broadcast is bounded by slice_windows: a benchmark with more windows goes over the documents slice by
     slice, each with its own bounded broadcast, and every slice adds to what earlier ones found.
@@ -122,16 +133,19 @@ def scanned(docs: DataFrame, benchmark: DataFrame, n: int, carry: list[str], sli
         def run(batches, index=index, last=last):
             own = index.value
             for b in batches_by_bytes(batches, "text"):
-                found = []
+                found, left = [], []
                 for text, before in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                     words = words_of(text)
                     spans, items = own.find(words)
                     if before:
                         spans += [(s["start"], s["end"]) for s in before["hit_spans"]]
                         items |= set(before["hit_items"])
-                    found.append({"hit_items": sorted(items), "hit_spans": [{"start": a, "end": z} for a, z in merged(spans)], "n_words": len(words)})
-                kept = [b.column(0), pa.nulls(b.num_rows, pa.string()) if last else b.column(1)]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(found, b.schema.field(2).type)], schema=b.schema)
+                    spans = merged(spans)
+                    found.append({"hit_items": sorted(items), "hit_spans": [{"start": a, "end": z} for a, z in spans], "n_words": len(words)})
+                    if last:
+                        left.append(None if not cut or text is None else without(text, spans) if spans else text)
+                texts = pa.array(left, pa.string()) if last else b.column(1)
+                yield pa.RecordBatch.from_arrays([b.column(0), texts, pa.array(found, b.schema.field(2).type)], schema=b.schema)
 
         out = out.mapInArrow(released(run), out.schema)
         if not last:
@@ -144,31 +158,11 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, n: int = 8, most_items: int =
 
     A document that loses words keeps the bytes around them; clean documents stay as they are.
     """
-    found = scanned(docs, benchmark, n, docs.columns)
-    kept = found.where(F.size("found.hit_items") < most_items)
-
-    @F.pandas_udf("string")
-    def cut(text, spans):
-        out = []
-        for t, ranges in zip(text, spans):
-            if t is None or ranges is None or not len(ranges):
-                out.append(t)
-                continue
-            raw = t.encode()
-            at = [m.span() for m in WORD.finditer(raw.lower())]
-            pieces, last = [], 0
-            for r in ranges:
-                pieces.append(raw[last : at[r["start"]][0]])
-                last = at[r["end"] - 1][1]
-            out.append(b"".join([*pieces, raw[last:]]).decode("utf-8", "replace"))
-        return type(text)(out, dtype=object)
-
-    hit = F.size("found.hit_spans") > 0
-    plain = kept.where(~hit).select("row.*")
-    mended = kept.where(hit).select("row", cut("row.text", "found.hit_spans").alias("cut"))
-    length = F.length("cut").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
-    new = {"text": F.col("cut"), "n_chars": length}
-    return plain.unionByName(mended.select(*[new.get(c, F.col(f"row.{quoted(c)}")).alias(c) for c in docs.columns]))
+    kept = scanned(docs, benchmark, n, [c for c in docs.columns if c != "text"], cut=True).where(F.size("found.hit_items") < most_items)
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.size("found.hit_spans") > 0, F.length("text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return kept.select(*[new.get(c, F.col(f"row.{quoted(c)}")).alias(c) for c in docs.columns])
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
