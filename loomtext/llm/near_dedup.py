@@ -35,7 +35,7 @@ from .components import components
 
 VALUES, DEPTH, DEEPEST = 128, 4, 12
 ORDERS = VALUES // DEPTH
-DENSE, CHUNK, ALIKE = 64, 2000, 76
+DENSE, CHUNK, ALIKE = 64, 1000, 76
 #: Rows that are walked together.
 WALK_ROWS = 1 << 16
 #: Ids of one broadcast; beyond it texts are joined by a shuffle.
