@@ -153,15 +153,22 @@ def goes_with_session(spark: SparkSession, path: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
 
 
-def settled(df: DataFrame, release: bool = False) -> DataFrame:
-    """df written to the shared folder and read back: its lineage is cut and survives lost executors. With release
-    the driver collects its garbage, so that Spark removes the shuffle files behind df now and not at some time."""
-    path = scratch(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
-    goes_with_session(df.sparkSession, path)
-    if release:
-        df.sparkSession._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Spark removes the shuffle files of a query that was made under this setting when the query ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back: its lineage is cut, survives lost executors, and the shuffle
+    files behind it go."""
+    spark, path = df.sparkSession, scratch(df.sparkSession)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    goes_with_session(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_bytes(df: DataFrame) -> int:
