@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ._util import LAST_ID, documents
-from .repeats import Block, Rule, repeated
+from .repeats import HOT_RUNS, Block, Rule, repeated
 
 MOST_RUNS = 64
 
@@ -92,9 +92,9 @@ def shard(window: int):
     return resolve
 
 
-def substring_dedup(docs: DataFrame, window: int = 20, gram: int = 8, most_runs: int = MOST_RUNS, with_text: bool = True) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 20, gram: int = 8, most_runs: int = MOST_RUNS, with_text: bool = True, hot_runs: int = HOT_RUNS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, with_text, kept (words joined by one space)."""
-    rule = Rule(window, gram, words=True, ordered=True, most_runs=most_runs)
+    rule = Rule(window, gram, words=True, ordered=True, most_runs=most_runs, hot_runs=hot_runs)
 
     def finish(b: Block, hit: np.ndarray) -> pa.Table:
         kept, n, removed = [], [], []

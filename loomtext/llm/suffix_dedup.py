@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ._util import LAST_ID, documents
-from .repeats import Block, Rule, repeated
+from .repeats import HOT_RUNS, Block, Rule, repeated
 
 
-def suffix_dedup(docs: DataFrame, length: int = 50, gram: int = 24, with_text: bool = True) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 50, gram: int = 24, with_text: bool = True, hot_runs: int = HOT_RUNS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with_text, kept (bytes: a cut may split a character)."""
-    rule = Rule(length, gram, words=False, ordered=False)
+    rule = Rule(length, gram, words=False, ordered=False, hot_runs=hot_runs)
 
     def finish(b: Block, hit: np.ndarray) -> pa.Table:
         rows = []
