@@ -94,7 +94,7 @@ def first_positions(texts, window):
     return first
 
 
-def test_suffix_dedup(docs):
+def brute_suffix():
     texts = [raw(x[1]) for x in ROWS]
     first = first_positions(texts, 50)
     want = Counter()
@@ -102,20 +102,52 @@ def test_suffix_dedup(docs):
         hit = cover(t, 50, lambda k, p, i=i: first[k][0] < i)
         spans = sum(b and not a for a, b in zip([False, *hit], hit))
         want[back(i), len(t), sum(hit), spans, sha(bytes(c for c, h in zip(t, hit) if not h))] += 1
-    out = suffix_dedup.suffix_dedup(docs)
-    assert collected(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+    return want
+
+
+@pytest.mark.parametrize("hot_runs", [0, 1, 16])
+def test_suffix_dedup(docs, hot_runs):
+    """Also where every anchor, or every one with two runs in a block, is sent as a mark."""
+    out = suffix_dedup.suffix_dedup(docs, hot_runs=hot_runs)
+    assert collected(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_suffix()
     assert all(sha(bytes(r.kept)) == r.kept_sha256 for r in out.collect())
 
 
-@pytest.mark.parametrize("most_runs", [0, 1, 64])
-def test_substring_dedup(docs, most_runs):
+@pytest.mark.parametrize("most_runs,hot_runs", [(0, 16), (1, 16), (64, 16), (64, 0), (64, 1)])
+def test_substring_dedup(docs, most_runs, hot_runs):
     texts = [raw(x[1]).split() for x in ROWS]
     first = first_positions(texts, 20)
     want = Counter()
     for i, t in zip(IDS, texts):
         hit = cover(t, 20, lambda k, p, i=i: first[k] < (i, p))
         want[back(i), len(t), sum(hit), sha(b" ".join(w for w, h in zip(t, hit) if not h))] += 1
-    assert collected(substring_dedup.substring_dedup(docs, most_runs=most_runs), "doc_id", "n_words", "n_removed", "kept_sha256") == want
+    assert collected(substring_dedup.substring_dedup(docs, most_runs=most_runs, hot_runs=hot_runs), "doc_id", "n_words", "n_removed", "kept_sha256") == want
+
+
+def test_blocks_and_buckets_in_parts(monkeypatch):
+    """Neither the steps in which a block is read nor the parts in which a bucket is unpacked change a thing."""
+    import pyarrow as pa
+
+    from loomtext.llm import repeats
+
+    r = random.Random(4)
+    texts = ["".join(r.choice("ab ") for _ in range(r.choice([0, 10, 49, 50, 51, 300, 2000]))) for _ in range(30)] + ["z" * 700, " ".join(r.choice(["x", "yy"]) for _ in range(300))]
+    table = pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts})
+    for rule in (repeats.Rule(50, 24, False, False), repeats.Rule(20, 8, True, True)):
+        want = repeats.Block(table, rule)
+        sizes = [len(raw(t).split()) if rule.words else len(t) for t in texts]
+        assert (want.last - want.first + 1).sum() == sum(max(0, n - rule.window + 1) for n in sizes)
+        rows = repeats._rows(repeats._request(repeats.RUN, 0, 1, rule, want.ids[want.doc], want.start, want.key, want.fp), repeats._REQUEST_SCHEMA)
+        whole = next(repeats._in_parts(rows, rule))
+        for step in (1, 7, 64, 501):
+            monkeypatch.setattr(repeats, "STEP", step)
+            monkeypatch.setattr(repeats, "PART_ENTRIES", 5 * step)
+            got = repeats.Block(table, rule)
+            assert all(np.array_equal(getattr(got, f), getattr(want, f)) for f in ("first", "last", "anchor", "doc", "key", "fp", "ident", "start", "hot"))
+            parts = list(repeats._in_parts(rows, rule))
+            assert all(sorted(np.concatenate([p[f] for p in parts]).tolist()) == sorted(whole[f].tolist()) for f in ("key", "fp", "doc", "start", "place"))
+            assert not parts[1:] or not any(set(a["key"]) & set(b["key"]) for a, b in zip(parts, parts[1:]))
+        monkeypatch.undo()
 
 
 def test_suffix_automaton():
@@ -135,8 +167,7 @@ def test_suffix_automaton():
 
 
 @pytest.mark.parametrize("hot_rows", [500, 2])
-def test_line_dedup(docs, monkeypatch, hot_rows):
-    monkeypatch.setattr(line_dedup, "HOT_ROWS", hot_rows)
+def test_line_dedup(spark, docs, hot_rows):
     key = lambda x: x.strip(b" \t\n\v\f\r").lower()
     holders = defaultdict(set)
     for i, x in zip(IDS, ROWS):
@@ -149,11 +180,20 @@ def test_line_dedup(docs, monkeypatch, hot_rows):
         kept = [y for y in lines if not (key(y) in holders and min(holders[key(y)]) < i)]
         want[back(i), len(lines), len(lines) - len(kept), sha(b"\n".join(kept))] += 1
     for batches, fanout in ((4, 2), (1, 2), (7, 3)):
-        out = line_dedup.line_dedup(docs, batches, fanout)
+        out = line_dedup.line_dedup(docs, batches, fanout, hot_rows=hot_rows, sampled=1 if hot_rows == 2 else 32)
         assert out.columns == [*docs.columns, "n_lines", "n_dropped"]
         assert collected(out, "doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256)) == want
 
 
+def test_lines_of_documents_without_ids(spark):
+    """Most rows, and then all, have no doc_id: they count as one document, the last."""
+    for known in (3, 0):
+        rows = [(i if i < known else None, f"a line of its own {i}\nthe line that all of them hold") for i in range(40)]
+        out = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted(r.n_dropped for r in out) == [0] * (1 if known else 40) + [1] * (39 if known else 0)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
+
+
 def test_runs_are_levelled(spark, docs):
     runs = line_dedup.Runs(spark, fanout=2)
     keys = line_dedup.line_keys(docs)
@@ -162,6 +202,7 @@ def test_runs_are_levelled(spark, docs):
     assert [len(x) for x in runs.levels] == [1, 0, 1]
     every = [r for df in runs.runs() for r in df.select("h1", "h2").collect()]
     assert len(every) == len(set(every)) == keys.select("h1", "h2").distinct().count()
+    runs.close()
 
 
 # ---- 7: near duplicates
@@ -267,6 +308,32 @@ def test_stage_keeps_one_row_of_each_group(spark):
     assert sorted((id(find(own[x[1]])), LAST_ID if x[0] is None else x[0]) for x in got if own[x[1]]) == sorted((id(s), i) for s, i in first.items())
 
 
+def test_walk_of_sorted_orders():
+    """Common prefixes, parts and neighbours of sorted rows against plain ones."""
+    r = np.random.default_rng(3)
+    n = 900
+    place = r.integers(0, 2, (n, 1 + 2 * near_dedup.DEEPEST), dtype=np.uint8)
+    place[:, 1:9] *= r.random((n, 1)) < 0.3  # most share the first values, so that a region is dense
+    place = place[np.lexsort(place.T[::-1])]
+    rep = r.permutation(n).astype(np.int64)
+    lcp, head, near = near_dedup.regions(place, rep)
+
+    def common(i, j):
+        if place[i, 0] != place[j, 0]:
+            return 0
+        return next((d for d in range(near_dedup.DEEPEST) if (place[i, 1 + 2 * d : 3 + 2 * d] != place[j, 1 + 2 * d : 3 + 2 * d]).any()), near_dedup.DEEPEST)
+
+    assert lcp.tolist() == [0] + [common(i - 1, i) for i in range(1, n)]
+    for i in range(n):
+        for depth in range(near_dedup.DEPTH, near_dedup.DEEPEST + 1):
+            part = [j for j in range(n) if j == i or common(i, j) >= depth]
+            if len(part) <= near_dedup.DENSE or depth == near_dedup.DEEPEST:
+                break
+        assert head[i] == rep[part].min()
+        sides = [(common(i, j), -(j > i), rep[j]) for j in (i - 1, i + 1) if 0 <= j < n and common(i, j) >= near_dedup.DEPTH]
+        assert near[i] == (max(sides)[2] if sides else rep[i])
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 400)] + [(7, 7)]
@@ -491,12 +558,16 @@ def test_quality_without_labels(spark, docs):
 
 # ---- 4: WARC
 
+_INNER = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:77>\r\nContent-Length: 400\r\n\r\n" + "HTTP/1.1 200 OK\r\n\r\n" + "q" * 381 + "\r\n\r\n"
+#: Whole records in a row, one of a length that fits nothing, and one that claims all that follows.
+NESTED = "\r\n\r\n" + _INNER * 4 + "mid" + _INNER.replace("400", "12") + _INNER.replace("400", "99999999") + _INNER
 FAKE = "pay\r\n\r\nWARC/1.0\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nab\nWARC/1.0\rxx" + "p" * 120
 
 
 def test_warc(spark):
     body = "<html>" + "x" * 200
     rows = [(5, "http://a", body), (2, "http://b\r\nX: y", body), (9, None, body), (1, "u", ""), (3, "u", None), (4, "u", "short"), (6, "u", "short"), (7, "u", FAKE), (8, "u", FAKE), (10, "u", "é漢" * 60), (None, "u", "no id" * 40), (11, "u", "\r\n\r\n" * 50)]
+    rows += [(12, "u", _INNER * 2), (13, "u", NESTED), (14, "u", NESTED), (15, "u", _INNER), (16, "u", "x" + _INNER * 20)]
     rows += [(100 + i, "u", prose(random.Random(i), 50)) for i in range(150)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     first = {}
@@ -554,7 +625,56 @@ def test_clashing_columns(spark):
     assert near_dedup.near_duplicates(df).count() == 2 and bpe.digests(df).count() == 2 and tokencount.token_counts(df).count() == 2
     assert decontaminate.scan(df, bench, carry=["doc_id"]).count() == 2 and decontaminate.cleaned(df, bench).columns == df.columns
     assert line_dedup.line_dedup(df).columns == [*df.columns, "n_lines", "n_dropped"]
-    assert quality.assess(df, quality.Model(np.zeros(quality.BUCKETS), -1.0), ["doc_id"]).count() == 2
+    out = quality.assess(df, quality.Model(np.zeros(quality.BUCKETS), -1.0))
+    assert len(set(out.columns)) == len(out.columns) and out.count() == 2
+    out = bpe.decode(bpe.encode(df))
+    assert out.count() == 2 and [bytes(r.decoded).decode() for r in out.collect()] == ["a text of some words"] * 2
+
+
+def test_stages_keep_clashing_columns(spark, tmp_path):
+    """Columns of the stages' own names, and names with dots, come out as they were."""
+    import corpus_pipeline as cp
+
+    extra = ["kept", "score", "n_words", "n_dropped", "n_lines", "row", "id", "gone", "found", "cut", "ids", "a.b", "x`y", "count"]
+    texts = [f"{prose(random.Random(i), 60)}\n{i} and a line of its own" for i in range(6)]
+    rows = [(i, t, *[f"{c}{i}" for c in extra]) for i, t in enumerate(texts)]
+    schema = "doc_id long, text string, " + ", ".join("`" + c.replace("`", "``") + "` string" for c in extra)
+    docs = spark.createDataFrame(rows, schema)
+    spark.createDataFrame([(i, 1, 0) for i in range(3)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([("b", "nothing of these texts")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for _, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        got = {r[0]: tuple(r)[2:] for r in out.collect()}
+        assert got and all(v == rows[k][2:] for k, v in got.items())
+    assert cp.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 6
+
+
+def test_very_long_texts(spark):
+    """A text of 3 MB in lines, one of 1 MB without a space, and their copies."""
+    r = random.Random(8)
+    long = "\n".join(f"{i} " + " ".join(r.choices(WORDS, k=40)) for i in range(20_000))
+    solid = "".join(r.choices("abcdefghij", k=1_000_000))
+    rows = [(1, long), (2, long + " tail"), (3, solid), (4, solid), (5, "short")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5).cache()
+    by_id = lambda out: {x[0]: x for x in out.collect()}
+    sizes = {i: len(t.encode()) for i, t in rows}
+    got = by_id(suffix_dedup.suffix_dedup(df, with_text=False))
+    assert {i: (x.n_bytes, x.n_removed) for i, x in got.items()} == {1: (sizes[1], 0), 2: (sizes[2], sizes[1]), 3: (sizes[3], 0), 4: (sizes[4], sizes[4]), 5: (5, 0)}
+    got = by_id(substring_dedup.substring_dedup(df, with_text=False))
+    assert {i: x.n_removed for i, x in got.items()} == {1: 0, 2: 20_000 * 41, 3: 0, 4: 0, 5: 0}
+    got = by_id(line_dedup.line_dedup(df))
+    assert {i: x.n_dropped for i, x in got.items()} == {1: 0, 2: 19_999, 3: 0, 4: 1, 5: 0}
+    got = by_id(near_dedup.near_duplicates(df))
+    assert {i: x.component_id for i, x in got.items()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
+    got = by_id(bpe.digests(df))
+    assert all(got[i].decoded_sha256 == sha(t) for i, t in rows)
+    got = by_id(quality.assess(df, quality.Model(np.zeros(quality.BUCKETS), -1.0), ["doc_id"]))
+    assert got[1].n_words == 20_000 * 41 and got[3].word_chars == 1_000_000
+    bench = spark.createDataFrame([("tail", " ".join(long.split()[-9:]))], "item_id string, text string")
+    assert {x.doc_id for x in decontaminate.scan(df, bench, carry=["doc_id"]).where("size(found.hit_items) > 0").collect()} == {1, 2}
+    trie = tokencount.Trie(tokencount.read_pieces())
+    assert trie.learn(solid[:200_000].encode()) == trie.count(tokencount.MARK + solid[:200_000]) and not trie.terminals
 
 
 # ---- the registered queries
@@ -570,7 +690,55 @@ def test_queries_against_sql(spark, sf_dir, duck):
         assert clean(got) == clean(want), name
 
 
-def test_pipeline(spark, sf_dir):
+def plain_near_copies(rows) -> set[int]:
+    """Ids of rows that are not the smallest of their component, by all pairs."""
+    sets = {}
+    for r in rows:
+        w = raw(r.text).lower().split()
+        sets[r.doc_id] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if b < a and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i for i in sets if find(i) != i}
+
+
+def plain_cleaning(rows, bench) -> dict[int, str]:
+    """What is left of documents without benchmark windows, window by window."""
+    word = re.compile(rb"[0-9a-z\x80-\xff]+")
+    windows = defaultdict(set)
+    for r in bench:
+        w = word.findall(raw(r.text).lower())
+        n = min(8, len(w))
+        for i in range(len(w) - n + 1 if w else 0):
+            windows[tuple(w[i : i + n])].add(r.item_id)
+    out = {}
+    for r in rows:
+        text = raw(r.text)
+        at = list(word.finditer(text.lower()))
+        w, hit, items = [m[0] for m in at], set(), set()
+        for n in {len(k) for k in windows}:
+            for i in range(len(w) - n + 1):
+                if found := windows.get(tuple(w[i : i + n])):
+                    hit |= set(range(i, i + n))
+                    items |= found
+        if len(items) < 2:
+            gone = set()
+            for i in hit:
+                gone |= set(range(at[i].start(), at[i + 1].start() if i + 1 in hit else at[i].end()))
+            out[r.doc_id] = bytes(c for i, c in enumerate(text) if i not in gone).decode()
+    return out
+
+
+def test_pipeline(spark, sf_dir, encoding):
     """Every stage against a plain version on its own input."""
     import corpus_pipeline as cp
 
@@ -595,12 +763,15 @@ def test_pipeline(spark, sf_dir):
         want[r.doc_id] = b"\n".join(lines).decode()
     assert {r.doc_id: r.text or "" for r in two.collect()} == want
     three = cp.STAGES[2][1](spark, two, sf_dir).cache()
-    gone = {r.id for r in near_dedup.near_duplicates(two, 5).where("id <> component_id").collect()}
-    assert {r.doc_id for r in three.collect()} == {r.doc_id for r in two.collect()} - gone
+    assert {r.doc_id for r in three.collect()} == {r.doc_id for r in two.collect()} - plain_near_copies(two.collect())
     four = cp.STAGES[3][1](spark, three, sf_dir).cache()
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    assert four.columns == docs.columns and decontaminate.scan(four, bench).where("size(found.hit_items) >= 2").count() == 0
+    assert four.columns == docs.columns
+    assert {r.doc_id: r.text or "" for r in four.collect()} == plain_cleaning(three.collect(), bench.collect())
     five = cp.STAGES[4][1](spark, four, sf_dir)
     assert five.count() == four.count() and five.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    for r in five.join(four.select("doc_id", "text"), "doc_id").collect():
+        ids = encoding.encode_ordinary(r.text or "")
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(" ".join(map(str, ids))), sha(raw(r.text)))
     whole = cp.run(spark, sf_dir)
     assert collected(whole, *whole.columns) == collected(five, *five.columns)
