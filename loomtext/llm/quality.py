@@ -5,10 +5,11 @@ one of the whole raw corpus. A document's score is the mean log ratio over its n
 length. Every document is compared with one threshold: the middle of the gap that best splits good from bad labels
 among documents that pass the base rules, and never above the score below which `most_lost` of the good fall.
 
-The labelled rows are a bounded sample (SAMPLE_ROWS, by a hash of doc_id); the raw counts cover all documents.
+Counts and threshold are those of all documents and all labels. Up to BROADCAST_ROWS labelled ids are broadcast; more
+meet the documents in a shuffle. The driver holds counts by bucket and by range of scores, never labels or scores.
 
 Defined results. Null text counts as empty: no words, so base_failed. Rows without doc_id are scored but never
-part of the labelled sample. Without labels every ratio is 0 and only the base rules decide. Empty tables give no
+labelled. Without labels every ratio is 0 and only the base rules decide. Empty tables give no
 rows. Every input row gives one output row.
 """
 
@@ -18,13 +19,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._util import batches_by_bytes, documents, gram_hashes, quoted, released, word_hashes
+from ._util import batches_by_bytes, documents, gram_hashes, quoted, released, settled, word_hashes
 
-SAMPLE_ROWS = 10_000
+#: Labelled ids that are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 10_000
+#: Ranges of scores in one unit. Scores lie within a few units, so the driver gets some ten thousand ranges on any input,
+#: and one range holds a small part of the scores.
+RANGES = 1 << 14
 N, BUCKETS = 4, 1 << 15
 SPACE = b" \t\n\v\f\r"
 SYMBOLS = b"#*$%&|<>"
@@ -86,68 +91,85 @@ def ratio_of(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
     return np.log(p / p.sum()) - np.log(q / q.sum())
 
 
-def split_at(good: np.ndarray, bad: np.ndarray, most_lost: float) -> float:
+def threshold_of(scored: DataFrame, most_lost: float, ranges: int = RANGES) -> float:
     """The score that best splits good from bad (a lost good counts twice), in the middle of the gap that it lies in;
-    at most the score below which most_lost of the good fall."""
-    if not len(good):
+    at most the score below which most_lost of the good fall. scored is (score, good); the driver gets a row for each
+    range of scores, and scores are counted up within their ranges."""
+    scored = scored.select(F.floor(F.col("score") * ranges).alias("range"), "score", F.col("good").cast("long").alias("g"), (~F.col("good")).cast("long").alias("b"))
+    held = scored.groupBy("range").agg(F.sum("g"), F.sum("b"), F.max("score")).orderBy("range").collect()
+    starts, n_good, n_bad, last = [], 0, 0, None
+    for at, g, b, top in held:
+        starts.append((at, n_good, n_bad, last))
+        n_good, n_bad, last = n_good + g, n_bad + b, top
+    if not n_good:
         return -np.inf
-    good = np.sort(good)
-    by_loss = float(good[int(most_lost * len(good))])
-    if not len(bad):
-        return by_loss
-    cuts = np.unique(np.concatenate([good, bad]))
-    lost = np.searchsorted(good, cuts, "left") / len(good)
-    caught = np.searchsorted(np.sort(bad), cuts, "left") / len(bad)
-    i = int(np.argmax(caught - 2 * lost))
-    return min(by_loss, float(cuts[max(0, i - 1)] + cuts[i]) / 2)
-
-
-def fit(docs: DataFrame, labels: DataFrame, most_lost: float = 0.01, sample_rows: int = SAMPLE_ROWS) -> Model:
-    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.coalesce(F.max("toxic"), F.lit(0)).alias("toxic"))
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).collect()
-    good = {r.doc_id for r in sample if r.quality == 1 and r.toxic == 0}
-    bad = {r.doc_id for r in sample if r.quality == 0}
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast((good, bad))  # at most sample_rows ids
+    nth = min(int(most_lost * n_good), n_good - 1)
+    starts = scored.sparkSession.createDataFrame(starts, "range long, good_before long, bad_before long, last double")
+    order = Window.partitionBy("range").orderBy("score")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    cuts = scored.groupBy("range", "score").agg(F.sum("g").alias("g"), F.sum("b").alias("b")).join(F.broadcast(starts), "range")
+    cuts = cuts.select(
+        "score",
+        "g",
+        (F.col("good_before") + F.coalesce(F.sum("g").over(before), F.lit(0))).alias("lost"),
+        (F.col("bad_before") + F.coalesce(F.sum("b").over(before), F.lit(0))).alias("caught"),
+        F.coalesce(F.lag("score").over(order), "last", "score").alias("below"),
+    )
+    gain = F.col("caught") / F.lit(max(1, n_bad)) - 2 * (F.col("lost") / F.lit(n_good))
+    by_loss, best = cuts.agg(
+        F.max(F.when((F.col("lost") <= nth) & (F.col("lost") + F.col("g") > nth), F.col("score"))),
+        F.max(F.struct(gain.alias("gain"), (-F.col("score")).alias("minus"), "below")),  # the first of equal gains
+    ).first()
+    return min(by_loss, (best.below - best.minus) / 2) if n_bad else by_loss
+
+
+def fit(docs: DataFrame, labels: DataFrame, most_lost: float = 0.01, broadcast_rows: int = BROADCAST_ROWS) -> Model:
+    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+    known = known.agg(F.max("quality").alias("quality"), F.coalesce(F.max("toxic"), F.lit(0)).alias("toxic"))
+    known = settled(known.selectExpr("doc_id", "quality = 1 AND toxic = 0 AS good", "quality").where("good OR quality = 0").drop("quality"))
+    few = known.count() <= broadcast_rows
+    known = known.hint("broadcast" if few else "shuffle_hash")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # rows without an id are not joined: a shuffle would send them all to one task
+    flagged = rows.where("doc_id IS NOT NULL").join(known, "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
+    flagged = flagged.unionByName(rows.where("doc_id IS NULL").select("text", F.lit(False).alias("good")))
 
     def count(batches):
-        ids = shared.value[0]
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for b in batches_by_bytes(batches, "text"):
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for text, good in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 n = np.bincount(buckets_of(_raw(text)), minlength=BUCKETS)
                 raw += n
-                if doc in ids:
+                if good:
                     target += n
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], ["bucket", "raw", "target"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counts = rows.mapInArrow(released(count), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect()  # at most BUCKETS rows
+    counts = flagged.mapInArrow(released(count), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for k, r, t in counts:
+    for k, r, t in settled(counts).collect():  # at most BUCKETS rows
         raw[k], target[k] = r, t
     model = Model(ratio_of(raw, target), -np.inf)
     if not target.any():
         return model
-    held = sc.broadcast(model)
+    held = docs.sparkSession.sparkContext.broadcast(model)
 
     def scores(batches):
-        good, bad = shared.value
-        for b in batches:
-            s, kind = [], []
+        for b in batches_by_bytes(batches, "text"):
+            ids, s = [], []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                n_words, _, _, _, n_repeat = base_signals(_raw(text))
+                raw = _raw(text)
+                n_words, _, _, _, n_repeat = base_signals(raw)
                 if n_words < 10 or 100 * n_repeat > 20 * n_words:
                     continue  # the base rules decide
-                s.append(held.value.score(_raw(text)))
-                kind.append(doc in good)
-            yield pa.RecordBatch.from_arrays([pa.array(s, pa.float64()), pa.array(kind, pa.bool_())], ["score", "good"])
-
-    wanted = docs.sparkSession.createDataFrame([(int(i),) for i in sorted(good | bad)], "doc_id long")
-    found = rows.join(F.broadcast(wanted), "doc_id", "left_semi").mapInArrow(released(scores), "score double, good boolean").toPandas()
-    threshold = split_at(found.score[found.good].to_numpy(), found.score[~found.good].to_numpy(), most_lost)
-    return Model(model.ratio, threshold)
+                ids.append(doc)
+                s.append(held.value.score(raw))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(s, pa.float64())], ["doc_id", "score"])
+
+    # many labels: all texts are scored where they lie, and only ids and scores are shuffled
+    wanted = rows.join(known, "doc_id", "left_semi") if few else rows.where("doc_id IS NOT NULL")
+    scored = wanted.mapInArrow(released(scores), "doc_id long, score double").join(known, "doc_id").select("score", "good")
+    return Model(model.ratio, threshold_of(settled(scored), most_lost))
 
 
 _SIGNALS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]

@@ -550,6 +550,51 @@ def test_quality_model(spark, sf_dir):
     assert all(r.kept == (not r.base_failed and r.score >= model.threshold) for r in out.values())
 
 
+def plain_threshold(good, bad, most_lost=0.01):
+    if not good:
+        return -np.inf
+    good, cuts = sorted(good), sorted({*good, *bad})
+    by_loss = good[int(most_lost * len(good))]
+    if not bad:
+        return by_loss
+    gain = [sum(x < c for x in bad) / len(bad) - 2 * (sum(x < c for x in good) / len(good)) for c in cuts]
+    i = gain.index(max(gain))
+    return min(by_loss, (cuts[max(0, i - 1)] + cuts[i]) / 2)
+
+
+def test_quality_of_all_labels(spark):
+    """More labels than are broadcast: counts and threshold are those of every label, by either join."""
+    r = random.Random(12)
+    rows = [(i, " ".join(r.choices(WORDS[: 30 + i % 31], k=10 + i % 5)), int(i % 3 > 0), int(i % 10 == 0)) for i in range(11_000)]
+    more = [(None, "no id " * 12), (3, prose(r, 30)), (20_000, prose(r, 40)), (5, None)]  # without id, repeated, without label
+    docs = spark.createDataFrame([x[:2] for x in rows] + more, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(x[0], x[2], x[3]) for x in rows] + [(None, 1, 0), (30_000, 1, 0)], "doc_id long, quality int, toxic int")
+    model = quality.fit(docs, labels)
+    texts = [x[:2] for x in rows] + more
+    good = {x[0] for x in rows if x[2] and not x[3]}
+    bad = {x[0] for x in rows if not x[2]}
+    count = lambda texts: np.bincount(np.concatenate([quality.buckets_of(raw(t)) for t in texts]), minlength=quality.BUCKETS)
+    assert np.array_equal(model.ratio, quality.ratio_of(count([t for _, t in texts]), count([t for i, t in texts if i in good])))
+    passed = [(i, t) for i, t in texts if t and brute_signals(t)[0] >= 10 and 100 * brute_signals(t)[4] <= 20 * brute_signals(t)[0]]
+    score = lambda ids: np.array([model.score(raw(t)) for i, t in passed if i in ids])
+    good, bad = np.sort(score(good)), np.sort(score(bad))
+    cuts = np.unique([*good, *bad])
+    gain = np.searchsorted(bad, cuts) / len(bad) - 2 * (np.searchsorted(good, cuts) / len(good))
+    i = int(np.argmax(gain))
+    assert model.threshold == min(good[len(good) // 100], (cuts[max(0, i - 1)] + cuts[i]) / 2)
+    again = quality.fit(docs, labels, broadcast_rows=10**6)
+    assert np.array_equal(again.ratio, model.ratio) and again.threshold == model.threshold
+
+
+def test_quality_threshold(spark):
+    """Ties, scores in one range and in many, one kind only."""
+    r = random.Random(13)
+    for n, m, digits, lost, ranges in [(300, 80, 1, 0.01, 4), (300, 80, 1, 0.9, 1024), (150, 200, 9, 0.5, 1), (200, 200, 3, 0.8, 16), (40, 0, 2, 0.3, 8), (0, 9, 2, 0.3, 8), (1, 1, 0, 0.01, 8)]:
+        good, bad = [round(r.gauss(0.6, 1), digits) for _ in range(n)], [round(r.gauss(-0.9, 1), digits) for _ in range(m)]
+        df = spark.createDataFrame([(x, True) for x in good] + [(x, False) for x in bad], "score double, good boolean").repartition(3)
+        assert quality.threshold_of(df, lost, ranges) == plain_threshold(good, bad, lost)
+
+
 def test_quality_without_labels(spark, docs):
     labels = spark.createDataFrame([(None, 1, 0), (1, None, None)], "doc_id long, quality int, toxic int")
     out = quality.assess(docs, quality.fit(docs, labels))
